@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from lexispan.llm.byte_pairs import op2_byte_pairs
 from lexispan.llm.byte_repeats import op1_suffix_dedup
+from lexispan.llm.chroma import op7_chroma_alignment
+from lexispan.llm.cotraining import op6_quality_classifier
+from lexispan.llm.mixing import op4_mixing
 from lexispan.llm.quality_rules import op5_quality_rules
 from lexispan.llm.sharding import op8_sharding
 from lexispan.llm.simhash import op9_simhash_dedup
 from lexispan.llm.substring_dedup import op10_substring_dedup
+from lexispan.llm.token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_quality_rules, op8_sharding, op9_simhash_dedup, op10_substring_dedup)}
+_ALL = (
+    op1_suffix_dedup, op2_byte_pairs, op3_token_counts, op4_mixing, op5_quality_rules,
+    op6_quality_classifier, op7_chroma_alignment, op8_sharding, op9_simhash_dedup, op10_substring_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
