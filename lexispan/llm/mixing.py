@@ -12,7 +12,8 @@ aggregate of K sums, and what the driver holds is those K numbers. A rate become
 copies by a seeded draw of the document's id.
 
 The classifier counts in how many labelled documents of each domain a word occurs, keeps
-the words that tell domains apart (a fixed number) and adds up their log odds. It is fitted
+for each domain a fixed number of words that speak for it, and adds up the log likelihoods of
+those that a document has; words that it lacks say nothing, for short texts lack most. It is fitted
 on at most ``sample`` labelled documents, chosen by a hash; all else covers all rows.
 
 Only DataFrame functions run on the rows. A null or blank text has no tokens, prior
@@ -36,7 +37,9 @@ TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 #: Labelled documents at most that the classifier is fitted on, and words it keeps for each domain.
 SAMPLE = 4_000
 WORDS_EACH = 64
+#: Labelled documents that a word must occur in, and standard errors by which it must stand out.
 MIN_DOCUMENTS = 4
+MIN_STRENGTH = 4.0
 STEPS = 24
 RIDGE = 0.02
 MAX_RATE = 4.0
@@ -87,14 +90,12 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[li
     for k in range(len(DOMAINS)):
         rest = (everything - F.col(f"n{k}") + 0.5) / (sum(n) - n[k] + 1.0)
         spread = F.sqrt(1 / (F.col(f"n{k}") + 0.5) + 1 / (everything - F.col(f"n{k}") + 0.5))
-        strength = F.abs(F.log(rates[k] / rest)) / spread
-        best = counts.where(everything >= MIN_DOCUMENTS).orderBy(strength.desc(), "word").limit(WORDS_EACH)
+        strength = F.log(rates[k] / rest) / spread
+        best = counts.where((everything >= MIN_DOCUMENTS) & (strength >= MIN_STRENGTH)).orderBy(strength.desc(), "word").limit(WORDS_EACH)
         for row in best.collect():
             model[row["word"]] = [row[f"n{j}"] for j in range(len(DOMAINS))]
     for word, seen_in in model.items():
-        odds = [(seen_in[k] + 0.5) / (n[k] + 1.0) for k in range(len(DOMAINS))]
-        model[word] = [math.log(p / (1 - p)) for p in odds]
-        base = [b + math.log(1 - p) for b, p in zip(base, odds, strict=True)]
+        model[word] = [math.log((seen_in[k] + 0.5) / (n[k] + 1.0)) for k in range(len(DOMAINS))]
     return base, model
 
 
