@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lexispan.plans import analytics_queries, corpus_queries  # noqa: F401
+from lexispan.plans.tables import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "phrase_exact_of_the"
