@@ -83,7 +83,7 @@ _SQL_RUNS = f"""{SQL_TIMED}, marked AS (SELECT *, event_type IN ('view', 'click'
 r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM marked)"""
 
 
-@query(f"""WITH {_SQL_RUNS}, g AS (SELECT user_id, run, min_by(r.label, r.start) AS label, min(r.start) AS s, max(r."end") AS e, min_by(r.before, r.start) AS b, max_by(r.after, r.start) AS a, count(*) AS n FROM r GROUP BY user_id, run)
+@query(f"""WITH {_SQL_RUNS}, g AS (SELECT user_id, run, min_by(r.label, r.start) AS label, min(r.start) AS s, max(r."end") AS e, arg_min_null(r.before, r.start) AS b, arg_max_null(r.after, r.start) AS a, count(*) AS n FROM r GROUP BY user_id, run)
 SELECT user_id, run, label, n, cast(floor(coalesce((s + b) / 2, s) * 1000 + 0.5) AS bigint) AS start, cast(floor(coalesce((e + a) / 2, e) * 1000 + 0.5) AS bigint) AS "end" FROM g""")
 def window_runs_midpoint(spark, d):
     rows = timed(spark, d).withColumn("label", F.col("event_type").isin("view", "click"))
