@@ -91,7 +91,8 @@ def distinct_spans(streams: DataFrame, keys: list[str], max_n: int) -> DataFrame
     ``streams``: keys, stream, pos, char_start, char_end."""
     over = Window.partitionBy(*keys, "stream").orderBy("pos")
     ends = [F.when(F.lead("pos", k).over(over) == F.col("pos") + k, F.lead("char_end", k).over(over)) for k in range(1, max_n)]
-    spans = streams.select(*keys, F.col("char_start").alias("s"), F.explode(F.array_compact(F.array("char_end", *ends))).alias("e"))
+    reached = streams.select(*keys, F.col("char_start").alias("s"), F.array_compact(F.array("char_end", *ends)).alias("ends"))
+    spans = reached.select(*keys, "s", F.explode("ends").alias("e"))
     return spans.groupBy(*keys).agg(F.count_distinct(F.struct("s", "e")).alias("n_spans"))
 
 
