@@ -214,7 +214,9 @@ def repeated_windows(rows: DataFrame, layout: Layout, label: str) -> tuple[DataF
     found = []
     for step in (*layout.steps, 0):
         groups = units.groupBy("key_a").agg(F.count(F.lit(1)).alias("n"), F.min("key_u").alias("least"), F.max("key_u").alias("most"))
-        shared = stored(units.join(groups.where("n > 1").drop("n"), "key_a"), f"{label}-shared")
+        # stored, so that both sides of the join are plain exchanges, whose hot partitions Spark splits
+        groups = stored(groups.where("n > 1").drop("n"), f"{label}-groups")
+        shared = stored(units.join(groups, "key_a"), f"{label}-shared")
         found.append(shared.where("least = most").select(*where))
         mixed = shared.where("least != most")
         kinds = mixed.groupBy("key_a", "key_u").agg(
