@@ -39,9 +39,10 @@ TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 SAMPLE = 4_000
 WORDS_EACH = 64
 #: Labelled documents that a word must occur in, and standard errors by which it must stand out
-#: against each of the other domains.
+#: against each of the other domains that have a fair number of labelled documents.
 MIN_DOCUMENTS = 6
 MIN_STRENGTH = 4.0
+MIN_LABELLED = 30
 STEPS = 24
 RIDGE = 0.02
 MAX_RATE = 4.0
@@ -90,9 +91,12 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[li
     model: dict[str, list[float]] = {}
     base = [math.log((n[k] + 1.0) / (sum(n) + len(DOMAINS))) for k in range(len(DOMAINS))]
     for k in range(1, len(DOMAINS)):
+        others = [j for j in range(len(DOMAINS)) if j != k and n[j] >= MIN_LABELLED]
+        if not others:
+            continue
         error = lambda j: rates[j] * (1 - rates[j]) / (n[j] + 1.0)
-        gains = [(rates[k] - rates[j]) / F.sqrt(error(k) + error(j)) for j in range(len(DOMAINS)) if j != k]
-        strength = F.least(*gains)
+        gains = [(rates[k] - rates[j]) / F.sqrt(error(k) + error(j)) for j in others]
+        strength = F.least(*gains) if len(gains) > 1 else gains[0]
         best = counts.where((everything >= MIN_DOCUMENTS) & (strength >= MIN_STRENGTH)).orderBy(strength.desc(), "word").limit(WORDS_EACH)
         for row in best.collect():
             model[row["word"]] = [row[f"n{j}"] for j in range(len(DOMAINS))]
