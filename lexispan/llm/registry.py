@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexispan.llm import oracle
 from lexispan.llm.byte_pairs import op2_byte_pairs
 from lexispan.llm.byte_repeats import op1_suffix_dedup
 from lexispan.llm.chroma import op7_chroma_alignment
@@ -18,4 +19,4 @@ _ALL = (
     op6_quality_classifier, op7_chroma_alignment, op8_sharding, op9_simhash_dedup, op10_substring_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_quality_rules": oracle.QUALITY_RULES, "op10_substring_dedup": oracle.SUBSTRING_DEDUP}
