@@ -34,95 +34,88 @@ from lexispan.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 #: Characters beyond which a text's pre-tokens aren't listed at once.
 LONG = 1 << 20
 
 
-class RankQueue:
-    """Places by merge rank; pop() gives the leftmost place of the lowest rank."""
-
-    __slots__ = ("top", "middle", "low", "buckets")
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.middle: dict[int, int] = {}
-        self.low: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
-        word, block = rank >> 6, rank >> 12
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.middle[block] = self.middle.get(block, 0) | 1 << (word & 63)
-        self.top |= 1 << block
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        block = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[block]
-        word = block << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.middle[block] &= ~(1 << (word & 63))
-                if not self.middle[block]:
-                    self.top &= ~(1 << block)
-        return rank, place
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
-    whole = ranks.get(piece)
+    """Token ids of one pre-token.
+
+    The queue: ``buckets`` holds places by rank, as heaps; bit r of ``low``, w = r // 64 of ``middle`` and b = w // 64 of
+    ``top`` are set while something lies below them. It lives in local names, for most pre-tokens are short."""
+    rank_of = ranks.get
+    whole = rank_of(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that starts here
     before = list(range(-1, n - 1))  # start of the part before
     current = [-1] * n  # rank of the pair that starts here
-    queue = RankQueue()
-    rank_of, push, pop = ranks.get, queue.push, queue.pop
-
-    for i in range(n - 1):
-        rank = rank_of(piece[i : i + 2])
-        if rank is not None:
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    middle: dict[int, int] = {}
+    top = 0
+
+    fresh = [(rank, i) for i in range(n - 1) if (rank := rank_of(piece[i : i + 2])) is not None]
+    while True:
+        for rank, i in fresh:
             current[i] = rank
-            push(rank, i)
-    while (found := pop()) is not None:
-        rank, i = found
+            if rank in buckets:
+                heappush(buckets[rank], i)
+            else:
+                buckets[rank] = [i]
+                word = rank >> 6
+                block = rank >> 12
+                if word in low:
+                    low[word] |= 1 << (rank & 63)
+                else:
+                    low[word] = 1 << (rank & 63)
+                    middle[block] = middle.get(block, 0) | 1 << (word & 63)
+                    top |= 1 << block
+        fresh = []
+        if not top:
+            break
+        # find-first-set down the levels
+        block = (top & -top).bit_length() - 1
+        bits = middle[block]
+        word = block << 6 | (bits & -bits).bit_length() - 1
+        bits = low[word]
+        rank = word << 6 | (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        i = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            bits &= bits - 1
+            if bits:
+                low[word] = bits
+            else:
+                del low[word]
+                bits = middle[block]
+                bits &= bits - 1
+                middle[block] = bits
+                if not bits:
+                    top &= top - 1
         if current[i] != rank:
-            continue
+            continue  # stale
         j = end[i]
         k = end[j]
         end[i] = k
-        current[j] = -1
-        fresh = None
+        current[i] = current[j] = -1
         if k < n:
             before[k] = i
-            fresh = rank_of(piece[i : end[k]])
-        current[i] = -1 if fresh is None else fresh
-        if fresh is not None:
-            push(fresh, i)
+            if (rank := rank_of(piece[i : end[k]])) is not None:
+                fresh.append((rank, i))
         h = before[i]
         if h >= 0:
-            fresh = rank_of(piece[h:k])
-            current[h] = -1 if fresh is None else fresh
-            if fresh is not None:
-                push(fresh, h)
+            current[h] = -1
+            if (rank := rank_of(piece[h:k])) is not None:
+                fresh.append((rank, h))
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : end[i]]])
-        i = end[i]
+        k = end[i]
+        ids.append(ranks[piece[i:k]])
+        i = k
     return ids
 
 

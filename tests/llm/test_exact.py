@@ -89,12 +89,18 @@ def test_merges_of_long_pieces(piece):
     assert byte_pairs.merge(piece.encode(), own.ranks) == known.encode_ordinary(piece)
 
 
-def test_rank_queue_orders_by_rank_then_place():
-    queue = byte_pairs.RankQueue()
-    items = [(70_000, 3), (5, 9), (5, 2), (4095, 1), (64, 0), (63, 8), (5, 4)]
-    for r, p in items:
-        queue.push(r, p)
-    assert [queue.pop() for _ in items] == sorted(items) and queue.pop() is None
+def test_merges_of_random_pieces():
+    import random
+
+    import tiktoken
+
+    own = byte_pairs.coder(P.path(byte_pairs.VOCABULARY))
+    known = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=own.ranks, special_tokens={})
+    draw = random.Random(8)
+    for alphabet in ("ab", "etaoinshrdlu ", "éàxyz🙂", "0123456789-"):
+        for n in (1, 2, 3, 10, 40, 120, 500):
+            piece = "".join(draw.choice(alphabet) for _ in range(n))
+            assert byte_pairs.merge(piece.encode(), own.ranks) == known.encode_ordinary(piece)
 
 
 def test_token_counts(spark, docs, tmp_path):
