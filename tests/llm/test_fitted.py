@@ -137,19 +137,51 @@ def test_recordings_align(spark):
     assert chroma.aligned(rows.limit(0)).collect() == []
 
 
-def test_pipeline_on_given_tables(spark):
+def test_pipeline_equals_plain_versions(spark):
+    """Every stage on all that the one before kept, against a plain version of it."""
+    import hashlib
+    from collections import Counter
+
+    import brute
     import corpus_pipeline
+    import duckdb
+    import public_tokenizers as P
+    from lexispan.llm import byte_pairs, oracle
+    from lexispan.llm.common import stored
 
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    counts = [docs.count()]
-    from lexispan.llm.common import stored
+    start = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    texts = {r["doc_id"]: r["text"] for r in start.collect()}
 
+    out = []
+    docs = start
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, sf), "stage")
-        counts.append(docs.count())
-    assert counts[0] > counts[1] > counts[2] == counts[3] and counts[5] == counts[4]
-    assert sorted(r["n_tokens"] for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r["n_tokens"] for r in docs.collect())
+        out.append(docs)
+    rules, near, rest, mixed, coded = out
+
+    kept = [r[0] for r in con.execute(f"select doc_id from ({oracle.QUALITY_RULES}) where kept order by doc_id").fetchall()]
+    assert sorted(r["doc_id"] for r in rules.collect()) == kept and 0 < len(kept) < len(texts)
+
+    root = brute.components([brute.fingerprint(texts[i]) for i in kept])
+    first = sorted({kept[r] for r in root})
+    assert sorted(r["doc_id"] for r in near.collect()) == first and len(first) < len(kept)
+
+    removed = brute.removed_tokens([texts[i].split() for i in first], 35)
+    plain = {i: " ".join(w for k, w in enumerate(texts[i].split()) if k not in gone) if gone else texts[i] for i, gone in zip(first, removed)}
+    assert {r["doc_id"]: r["text"] for r in rest.collect()} == plain
+
+    rates = mixing.mixing_rates(rest, labels, corpus_pipeline.TARGETS).collect()
+    copies = Counter({r["doc_id"]: r["copies"] for r in rates if r["copies"]})
+    assert Counter(r["doc_id"] for r in mixed.collect()) == copies
+
+    own = byte_pairs.coder(P.path(byte_pairs.VOCABULARY))
+    n_tokens = {i: sum(len(x) // 4 for x in own.encode(t)) for i, t in plain.items()}
+    want = Counter((r["doc_id"], n_tokens[r["doc_id"]], hashlib.sha256(plain[r["doc_id"]].encode()).hexdigest()) for r in mixed.collect())
+    assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in coded.collect()) == want
 
 
 def test_pipeline_stages_on_odd_rows(spark, docs, labels, empty, tmp_path):
