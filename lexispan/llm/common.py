@@ -14,9 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id in row keys.
-NULL_ID = -(2**63)
-#: Largest table that is broadcast; beyond it the join shuffles both sides.
+#: Stands for a null doc_id in row keys; its negative is a long, too.
+NULL_ID = -(2**63) + 1
+#: Largest table that is broadcast, by its packed size (rows in memory take about three times that); beyond it the join
+#: shuffles both sides.
 BROADCAST_BYTES = 32 << 20
 
 _own: dict[str, str] = {}
