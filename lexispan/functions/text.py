@@ -29,6 +29,7 @@ def _decomposed(first: int, last: int) -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _decomposed(0xC0, 0x24F)
+_WIDE = r"[^\x00-\x7F]"
 #: A token: letters and digits, with inner apostrophes.
 TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 #: Sentence end: closing punctuation, with brackets and quotes after it.
@@ -36,8 +37,9 @@ TERMINAL = r"[.!?…][\])\"'»”’]*\s*$"
 
 
 def fold(text: Column) -> Column:
-    """Lower case, base letters."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO)
+    """Lower case, base letters. Plain ASCII needs no translation, which is the slow part."""
+    low = F.lower(text)
+    return F.when(low.rlike(_WIDE), F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO)).otherwise(low)
 
 
 def fold_text(text: str) -> str:
@@ -51,7 +53,9 @@ def fold_udf(text: pd.Series) -> pd.Series:
 
 
 def normalize_token(text: Column) -> Column:
-    return F.translate(fold(text), "’", "'")
+    low = F.lower(text)
+    wide = F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), FOLD_FROM + "’", FOLD_TO + "'")
+    return F.when(low.rlike(_WIDE), wide).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
