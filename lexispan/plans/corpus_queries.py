@@ -71,7 +71,8 @@ n AS (SELECT doc_id, tok AS t0, lead(tok, 1) OVER w AS t1, lead(tok, 2) OVER w A
 SELECT item_id, count(*) AS hits, count(DISTINCT doc_id) AS n_docs FROM (SELECT DISTINCT item_id, t0, t1, t2 FROM q) JOIN n USING (t0, t1, t2) GROUP BY item_id""")
 def phrase_trigram_hits(spark, d):
     """All trigrams of the benchmark items against all segments: both sides are cut to trigrams in their rows."""
-    grams = lambda rows, keys: rows.select(*keys, F.explode(K.ngrams(X.normalized_tokens(F.col("text")), 3)).alias("gram"))
+    listed = lambda rows, keys: rows.select(*keys, X.normalized_tokens(F.col("text")).alias("toks"))
+    grams = lambda rows, keys: listed(rows, keys).select(*keys, F.explode(K.ngrams(F.col("toks"), 3)).alias("gram"))
     wanted = grams(table(spark, d, "benchmark"), ["item_id"]).distinct()
     return grams(_segments(spark, d), ["doc_id"]).join(wanted, "gram").groupBy("item_id").agg(
         F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("n_docs")
