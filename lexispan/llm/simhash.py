@@ -12,7 +12,7 @@ signatures a fingerprint. Copies share a fingerprint and are never paired.
 Words are the runs of ``[^\x20\x09-\x0D]`` of the text with A-Z lower-cased. A null or blank
 text has fingerprint zero, which links like any other. A null id takes part under its own
 value (see ``common``) and is returned as null. Repeated rows are copies. Other columns
-pass through ``one_of_each`` and are otherwise not read. An empty table gives no rows.
+are not read. An empty table gives no rows. The pipeline's stage has a rule of its own (see ``near_copies``).
 """
 
 from __future__ import annotations
@@ -21,37 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispan.llm.common import NULL_ID, documents, stored
 from lexispan.llm.components import least_labels
+from lexispan.llm.near_copies import one_of_each, shingle_hashes  # noqa: F401  the stage's rule is its own
 
 SHINGLE = 3
 MAX_BITS = 3
 #: Fingerprints under one signature beyond which it is cut again.
 CROWD = 256
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
         return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), 42)]
-    else:
-        joined, at, ends = b" ".join(words), 0, []
-        starts = []
-        for w in words:
-            starts.append(at)
-            at += len(w)
-            ends.append(at)
-            at += 1
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :], strict=False)]
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         bits = np.array(hashes[k : k + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -132,22 +117,6 @@ def near_components(docs: DataFrame, label: str = "simhash") -> DataFrame:
     return prints.join(groups, "fp").select("node", "fp", "component")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one of least id, and the first by text of rows that repeat it."""
-    found = near_components(docs, "simhash-stage")
-    keep = found.where("node = component").select("node").distinct()
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"),
-    )
-    return (
-        keyed.join(keep, "node", "left_semi")
-        .groupBy("node")
-        .agg(F.min_by("row", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("row"))
-        .select(*[F.col("row")[c].alias(c) for c in docs.columns])
-    )
-
-
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(documents(spark, sf_dir).select("doc_id", "text"))
     value = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from lexispan.llm import byte_pairs, byte_repeats, quality_rules, sharding, simhash, spans, substring_dedup, token_counts
+from lexispan.llm import byte_pairs, byte_repeats, near_copies, quality_rules, sharding, simhash, spans, substring_dedup, token_counts
 
 
 def keyed(df, *names):
@@ -187,6 +187,33 @@ def test_one_of_each_keeps_the_least(docs):
     assert 0 in kept and 25 not in kept and 26 not in kept
 
 
+def test_one_of_each_takes_near_copies(spark):
+    import random
+
+    draw = random.Random(3)
+    base = [[f"w{draw.randrange(3000)}" for _ in range(draw.randint(40, 300))] for _ in range(40)]
+    texts = []
+    for words in base:
+        texts.append(" ".join(words))
+        for _ in range(4):  # edits of a word each, up to about the threshold and beyond it
+            other = list(words)
+            for _ in range(draw.randint(1, max(1, len(words) // 30))):
+                other[draw.randrange(len(other))] = f"new{draw.randrange(10**6)}"
+            texts.append(" ".join(other))
+    texts += ["", " ", "a b", "A  b", "a c"]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) or {tuple(t.lower().split())} for t in texts]
+    link = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    root = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if link(sets[i], sets[j])]
+    for _ in root:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    differing = [(i, j) for i, j in pairs if sets[i] != sets[j]]
+    assert len(differing) > 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in near_copies.one_of_each(docs).collect()} == set(root)
+
+
 def test_empty_tables(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     for query in (byte_repeats.op1_suffix_dedup, byte_pairs.op2_byte_pairs, token_counts.op3_token_counts, quality_rules.op5_quality_rules, sharding.op8_sharding, simhash.op9_simhash_dedup, substring_dedup.op10_substring_dedup):
