@@ -10,9 +10,10 @@ bits at most, so one of its two quarters differs by one bit at most, which gives
 signatures a fingerprint. Copies share a fingerprint and are never paired.
 
 Words are the runs of ``[^\x20\x09-\x0D]`` of the text with A-Z lower-cased. A null or blank
-text has fingerprint zero, which links like any other. A null id takes part under its own
-value (see ``common``) and is returned as null. Repeated rows are copies. Other columns
-are not read. An empty table gives no rows. The pipeline's stage has a rule of its own (see ``near_copies``).
+text has fingerprint zero, which links like any other. Rows link by their texts only: null
+ids and shared ids don't. A component's id is its least id that isn't null. Repeated rows are
+copies. Other columns are not read. An empty table gives no rows. The pipeline's stage has a
+rule of its own (see ``near_copies``).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import NULL_ID, documents, stored
+from lexispan.llm.common import documents, stored
 from lexispan.llm.components import least_labels
 from lexispan.llm.near_copies import one_of_each, shingle_hashes  # noqa: F401  the stage's rule is its own
 
@@ -100,26 +101,19 @@ def near_links(prints: DataFrame, label: str = "simhash") -> DataFrame:
 
 
 def near_components(docs: DataFrame, label: str = "simhash") -> DataFrame:
-    """node (doc_id, or the null id's value), fp and component of every row of ``docs``."""
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.col("text").cast("string").alias("text")
-    )
-    prints = stored(rows.mapInArrow(_fingerprints, "node long, fp long"), f"{label}-prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("node").alias("node")), f"{label}-distinct")
-    # rows that share an id are one node in the links, whatever their texts
-    same = prints.join(distinct.withColumnRenamed("node", "first"), "fp").where("node != first").select(
-        F.col("node").alias("a"), F.col("first").alias("b")
-    )
-    repeated = prints.groupBy("node").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select("node")
-    links = near_links(distinct, label).unionByName(same.join(repeated.withColumnRenamed("node", "a"), "a", "left_semi"))
-    labels = least_labels(links, label)
-    groups = distinct.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(groups, "fp").select("node", "fp", "component")
+    """doc_id, fp and component_id (least id that isn't null, or null) of every row of ``docs``.
+
+    The nodes are the fingerprints: rows without an id, or that share one, are linked by their texts only."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    prints = stored(rows.mapInArrow(_fingerprints, "node long, fp long").withColumnRenamed("node", "doc_id"), f"{label}-prints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{label}-distinct")
+    labels = least_labels(near_links(distinct.select("fp", F.col("fp").alias("node")), label), label)
+    placed = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = stored(placed, f"{label}-placed")
+    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(placed.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(documents(spark, sf_dir).select("doc_id", "text"))
-    value = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return found.select(
-        value("node").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), value("component").alias("component_id")
-    )
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -214,6 +214,22 @@ def test_one_of_each_takes_near_copies(spark):
     assert {r["doc_id"] for r in near_copies.one_of_each(docs).collect()} == set(root)
 
 
+def test_null_and_shared_ids_stay_apart(spark, texts, tmp_path):
+    own = [t for t in texts[:25] if len(t.split()) > 20]
+    rows = [(None if k % 3 else 5, t) for k, t in enumerate(own)] + [(900, own[1]), (901, own[2])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = registered(spark, table, simhash.op9_simhash_dedup, tmp_path).collect()
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in found}
+    prints = [f"{brute.fingerprint(t):016x}" for t in own]
+    for k, p in enumerate(prints):
+        ident = None if k % 3 else 5
+        assert got[ident, p] == {1: 900, 2: 901}.get(k, ident)
+    # 5 is shared by unrelated texts, 900 and 901 are copies of texts without an id
+    kept = near_copies.one_of_each(table).collect()
+    assert sorted(r["text"] for r in kept) == sorted(own)
+    assert {r["text"]: r["doc_id"] for r in kept}[own[1]] == 900
+
+
 def test_empty_tables(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     for query in (byte_repeats.op1_suffix_dedup, byte_pairs.op2_byte_pairs, token_counts.op3_token_counts, quality_rules.op5_quality_rules, sharding.op8_sharding, simhash.op9_simhash_dedup, substring_dedup.op10_substring_dedup):
