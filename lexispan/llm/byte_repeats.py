@@ -1,14 +1,19 @@
-"""Suffix-array dedup: bytes in long strings that occur elsewhere are removed.
-
-Prefix-free parsing made distributed. Rolling-hash triggers cut every text into phrases;
-the corpus is then the dictionary of distinct phrases and the parse, the sequence of phrase
-places. What the method takes from the suffix arrays of the two is, for a threshold of 400
-bytes, which suffixes agree on their first 400 bytes: those next to each other in corpus
-order. Here that order is built from fingerprints instead of letters, for neighbours with
-400 bytes in common are the same in either: places in the parse are brought together by what
-follows a trigger (the parse's part), and the phrase suffixes before the trigger, that
-is windows that start inside a phrase, by cutting the phrase (the dictionary's part), only
-where the neighbourhood doesn't decide all of them at once. See ``spans``.
+"""Suffix-array dedup: bytes in long strings that occur elsewhere are removed, by prefix-free parsing.
+
+Rolling-hash triggers cut every distinct text into phrases: a trigger is a place whose 8 bytes
+have the least hash of some 128 places in a row, so a phrase has 128 bytes at most and where it
+ends depends on what follows its start. The *parse* is a row for each text: where its phrases
+start, and the hash of each phrase, its name in the *dictionary*. Parse suffixes are told apart
+by prefix doubling over the names: two phrases from a trigger on lie within the 272 bytes that
+every string of 400 bytes has after its trigger, so one doubling settles which parse suffixes can
+share them; those that are alone in their class are in place and drop out.
+
+The suffixes of the corpus that are left start inside a phrase, and their place in corpus order
+is that of a dictionary suffix (the bytes up to the trigger) and of the parse suffix after it. For a
+threshold only the question counts which suffixes agree on their first 400 bytes: all suffixes of a
+phrase at once where the phrase and what follows agree, else in blocks of 16, else one by one (see
+``spans``). Neighbours in a suffix array of letters would answer the same, at a row for each byte of
+the dictionary.
 
 A text that is null or shorter than 400 bytes has nothing to remove. Rows that repeat a
 document count as occurrences of their own, so such texts go altogether. Nulls in other
@@ -20,43 +25,51 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexispan.llm.common import documents, with_row_key
-from lexispan.llm.spans import Layout, covered, repeated_windows, with_starts
+from lexispan.llm.common import KEY, by_text, documents, text_key, text_of
+from lexispan.llm.spans import Layout, Piece, by_repeats, removed_runs
 
 LENGTH = 400
-BYTES = Layout(length=LENGTH, reach=128, gram=8, steps=(16, 1), words=False)
+_DOUBLE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def phrase_pairs(piece: Piece) -> np.ndarray:
+    """For each anchor the class of the parse suffix that starts there, by its first two phrases."""
+    view, digest, cuts = memoryview(piece.data), xxhash.xxh3_64_intdigest, piece.triggers.tolist()
+    names = np.array([digest(view[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)], np.uint64)
+    classes = (names[:-1] ^ (names[:-1] >> np.uint64(31))) * _DOUBLE + names[1:]
+    return classes[np.searchsorted(piece.triggers, piece.anchors)].view(np.int64)
+
+
+BYTES = Layout(length=LENGTH, reach=128, gram=8, steps=(16, 1), words=False, seeds=phrase_pairs)
 
 
 def _removed(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for row, text, lows, highs in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "lows", "highs")), strict=True):
+        for t1, t2, copies, text, lows, highs in zip(*(batch[c].to_pylist() for c in ("t1", "t2", "copies", "text", "lows", "highs")), strict=True):
             data = text.encode()
-            runs, kept, at = covered(lows, highs, layout.length), hashlib.sha256(), 0
+            runs, kept, at = removed_runs(copies, lows, highs, len(data), layout.length), hashlib.sha256(), 0
             for start, end in runs:
                 kept.update(data[at:start])
                 at = end
             kept.update(data[at:])
-            out.append((row, len(data), sum(e - s for s, e in runs), len(runs), kept.hexdigest()))
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            out.append((t1, t2, copies, len(data), sum(e - s for s, e in runs), len(runs), kept.hexdigest()))
+        cols = list(zip(*out, strict=True)) if out else [()] * 7
+        types = (*[pa.int64()] * 6, pa.string())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["t1", "t2", "copies", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         )
 
 
-def repeated_bytes(docs: DataFrame, layout: Layout = BYTES) -> DataFrame:
-    """doc_id, text, lows, highs: first bytes of the windows that occur elsewhere, as closed intervals."""
-    rows = with_row_key(docs)
-    starts, size = repeated_windows(rows, layout, "byte-repeats")
-    return with_starts(rows, starts, size)
-
-
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_bytes(documents(spark, sf_dir)).select("doc_id", "text", "lows", "highs")
-    return found.mapInArrow(
-        lambda batches: _removed(batches, BYTES), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
+    docs = documents(spark, sf_dir)
+    schema = "t1 long, t2 long, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    found = by_repeats(docs, BYTES, "byte-repeats", lambda batches: _removed(batches, BYTES), schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(text_of(docs)))
+    return by_text(rows, found).drop(*KEY)

@@ -1,26 +1,28 @@
-"""Helpers shared by the training-data operators: reading, stored intermediates, sized joins.
+"""Helpers shared by the training-data operators: reading, stored intermediates, results by text, sized joins.
 
-Row identity. Operators that come back to a text after a shuffle match rows on
-``(row_id, row_hash)``: the document's id (a null id has its own value) and a hash of
-its text, so that repeated ids with different texts stay apart and identical rows share
-one result.
+Row identity. Operators whose result depends on a text only work on distinct texts, known by
+128 bits of hash (``t1``, ``t2``), and join the result back to the rows: repeated or null ids
+never mix different texts, and copies cost a row, not their work.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id in row keys; its negative is a long, too.
 NULL_ID = -(2**63) + 1
 #: Largest table that is broadcast, by its packed size (rows in memory take about three times that); beyond it the join
 #: shuffles both sides.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
+#: A text that more than one in so many rows have is joined by broadcast; there are fewer such texts than this.
+HOT_SHARE = 1_000
 
-_own: dict[str, str] = {}
+KEY = ["t1", "t2"]
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +30,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ""
+    """A new path in the folder that spark.checkpoint.dir names, which driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, tempfile.mkdtemp(prefix="lexispan-"))
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -41,15 +42,50 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _paths[id(read)] = (read, path)
+    return read
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for table in tables:
+        _, path = _paths.pop(id(table), (None, None))
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def text_of(docs: DataFrame) -> Column:
+    """The text of ``docs`` as a string, empty if it is null."""
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+def distinct_texts(docs: DataFrame, label: str) -> DataFrame:
+    """t1, t2, copies, text of every different text."""
+    rows = docs.select(text_of(docs).alias("text"))
+    return stored(
+        rows.select(*text_key(F.col("text")), "text").groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), label
+    )
+
 
+def by_text(rows: DataFrame, results: DataFrame) -> DataFrame:
+    """``rows`` (with t1, t2) joined to ``results`` (t1, t2, copies, ...), null where there is none.
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row_id long, row_hash int; every other column is left out."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("row_id"), F.hash("text").alias("row_hash"))
+    Texts of which there are very many copies would put all their rows into one task of a shuffle. Of those that more
+    than one row in ``HOT_SHARE`` has there are fewer than ``HOT_SHARE``, whatever the input: their results are
+    broadcast, all others are joined by a shuffle in which no text has more rows than that share."""
+    total = results.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    hot = F.col("copies") * HOT_SHARE > max(total, HOT_SHARE)
+    many, few = results.where(hot).drop("copies"), results.where(~hot).drop("copies")
+    known = F.broadcast(many.select(*KEY))
+    return rows.join(F.broadcast(many), KEY).unionByName(rows.join(known, KEY, "left_anti").join(few, KEY, "left"))
 
 
 def sized(df: DataFrame, size_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

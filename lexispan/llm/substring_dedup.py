@@ -22,74 +22,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import NULL_ID, documents, with_row_key
-from lexispan.llm.spans import Layout, covered, repeated_windows, with_starts
+from lexispan.llm.common import KEY, by_text, documents, text_key, text_of
+from lexispan.llm.spans import Layout, by_repeats, following_tokens, removed_runs
 
 LENGTH = 35
-WORDS = Layout(length=LENGTH, reach=16, gram=2, steps=(1,), words=True)
+WORDS = Layout(length=LENGTH, reach=16, gram=2, steps=(1,), words=True, seeds=following_tokens)
 
 
-def kept_words(text: str | None, lows: list[int] | None, highs: list[int] | None, length: int) -> tuple[int, int, str]:
+def kept_words(text: str | None, copies: int, lows: list[int] | None, highs: list[int] | None, length: int) -> tuple[int, int, str]:
     """Number of words, number removed, and the rest joined by single spaces."""
     words = (text or "").encode().split()
     rest, at = [], 0
-    for start, end in covered(lows, highs, length):
+    for start, end in removed_runs(copies, lows, highs, len(words), length):
         rest += words[at:start]
         at = end
     rest += words[at:]
     return len(words), len(words) - len(rest), b" ".join(rest).decode()
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(batch[c].to_pylist() for c in ("text", "copies", "lows", "highs")), strict=True)
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [
-            (row, *kept_words(text, lows, highs, LENGTH))
-            for row, text, lows, highs in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "lows", "highs")), strict=True)
-        ]
+        out = [kept_words(*row, LENGTH) for row in _rows(batch)]
         yield pa.RecordBatch.from_arrays(
             [
+                batch["t1"], batch["t2"], batch["copies"],
                 pa.array([x[0] for x in out], pa.int64()),
                 pa.array([x[1] for x in out], pa.int64()),
-                pa.array([x[2] for x in out], pa.int64()),
-                pa.array([hashlib.sha256(x[3].encode()).hexdigest() for x in out], pa.string()),
+                pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in out], pa.string()),
             ],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256"],
-        )
-
-
-def repeated_words(docs: DataFrame, layout: Layout = WORDS) -> DataFrame:
-    """doc_id, text, lows, highs: first words of the windows that occur elsewhere, as closed intervals."""
-    rows = with_row_key(docs)
-    starts, size = repeated_windows(rows, layout, "word-repeats")
-    return with_starts(rows, starts, size)
+            names=["t1", "t2", "copies", "n_words", "n_removed", "kept_sha256"],
+        )
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text without repeats; a text that has none stays as it is, to the byte."""
+    """The texts that lose words, without them, and (null) those that have copies and don't."""
     for batch in batches:
-        texts = [
-            text if not lows else kept_words(text, lows, highs, LENGTH)[2]
-            for text, lows, highs in zip(*(batch[c].to_pylist() for c in ("cleaned_text", "lows", "highs")), strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], names=["row", "cleaned_text"])
+        found = [(k, kept_words(*row, LENGTH)) for k, row in enumerate(_rows(batch))]
+        changed = [(k, x[2] if x[1] else None) for k, x in found if x[1] or batch["copies"][k].as_py() > 1]
+        part = batch.take(pa.array([k for k, _ in changed], pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [part["t1"], part["t2"], part["copies"], pa.array([x for _, x in changed], pa.string())], names=["t1", "t2", "copies", "cleaned"]
+        )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated words removed from ``text``; a document of which nothing is left stays, with an empty text."""
+    """``docs`` with repeated words removed from ``text``; a text that has none stays as it is, to the byte, and a
+    document of which nothing is left stays, with an empty text."""
+    cleaned = by_repeats(docs, WORDS, "word-repeats", _cleaned, "t1 long, t2 long, copies long, cleaned string")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(
-        row,
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("row_id"),
-        F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_hash"),
-    )
-    starts, size = repeated_windows(with_row_key(docs), WORDS, "word-repeats")
-    found = with_starts(keyed, starts, size).select("row", F.col("row.text").cast("string").alias("cleaned_text"), "lows", "highs")
-    schema = found.select("row", "cleaned_text").schema
-    cleaned = found.mapInArrow(_cleaned, schema)
-    columns = [F.col("cleaned_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
-    return cleaned.select(*columns)
+    found = by_text(docs.select(row, *text_key(text_of(docs))), cleaned)
+    text = F.coalesce("cleaned", F.col("row.text").cast("string"))
+    return found.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_words(documents(spark, sf_dir)).select("doc_id", "text", "lows", "highs")
-    return found.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    docs = documents(spark, sf_dir)
+    schema = "t1 long, t2 long, copies long, n_words long, n_removed long, kept_sha256 string"
+    found = by_repeats(docs, WORDS, "word-repeats", _removed, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(text_of(docs)))
+    return by_text(rows, found).drop(*KEY)

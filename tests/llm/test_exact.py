@@ -47,9 +47,9 @@ def test_pieces_of_long_texts_give_the_same(spark, docs, monkeypatch):
     ids, texts = ids_of(docs)
     layout = byte_repeats.BYTES
     for text in texts:
-        whole = [x for u in spans.units_of(text, layout) for x in zip(u[2].tolist(), u[3].tolist())]
+        whole = [x for u in spans.units_of(text, layout) for x in zip(u[0].tolist(), u[1].tolist())]
         monkeypatch.setattr(spans, "PIECE", 97)
-        cut = [x for u in spans.units_of(text, layout) for x in zip(u[2].tolist(), u[3].tolist())]
+        cut = [x for u in spans.units_of(text, layout) for x in zip(u[0].tolist(), u[1].tolist())]
         monkeypatch.undo()
         cover = lambda pairs: sorted(k for lo, hi in pairs for k in range(lo, hi + 1))
         assert cover(whole) == cover(cut) == list(range(max(0, len((text or "").encode()) - 399)))
