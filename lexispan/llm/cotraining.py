@@ -1,26 +1,27 @@
 """Quality classifier by co-training.
 
 Two classifiers see different sides of a document: its text (words and surface ratios) and
-its page metadata (source, language, length). Each round, each of them labels the documents
-of an unlabelled pool that it is surest of, and the other one learns from these. At last
-both are calibrated on labelled documents that neither has learned from, a third fit weighs
-the calibrated log odds, and all documents are scored.
+its page metadata (source, language, length). Each round, each of them scores all unlabelled documents
+in their partitions and hands the ``HANDED`` of each kind that it is surest of, of the whole table, to the other one,
+which learns from these. At last both are calibrated on labelled documents that neither has learned
+from, a third fit weighs the calibrated log odds, and all documents are scored.
 
-Fitting uses a bounded sample, chosen by a hash of the id: at most about ``LABELLED`` labelled
-and ``POOL`` other documents, as hashed words and a few numbers each, is all that the driver
-holds. Scoring reads every text whole, in its partition, without a shuffle.
+The driver holds at most about ``LABELLED`` labelled documents, chosen by a hash of the id, and the pseudo-labels that
+were handed over, each as hashed words and a few numbers. A partition keeps as many candidates as are handed over, so
+the choice from the whole table needs no shuffle of texts. Scoring reads every text whole, in its partition.
 
 A document counts as good if its quality label isn't 0 and its toxic label isn't 1. A null
 or blank text has no words; a null source or language is a value of its own; a null length is
-0. Repeated rows get equal scores. Labels without a document are ignored, and without labels
-of both kinds every score is the share of good labels (1 if there are none). An empty table
+0. Repeated rows get equal scores, and copies are handed over once. Labels without a document are ignored, and without
+labels of both kinds every score is the share of good labels (1 if there are none). An empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import documents, stored
+from lexispan.llm.common import documents, sized, stored
 
 LABELLED = 4_000
-POOL = 2_000
-ROUNDS = 4
+ROUNDS = 3
 #: Pseudo-labels that a view hands over in a round, of each kind, and the least confidence.
 HANDED = 100
 SURE = 0.9
@@ -126,6 +126,7 @@ class Model:
     meta_scale: Logistic
     joint: Logistic
     constant: float | None = None
+    taught: int = 0
 
     def text_row(self, hashes: np.ndarray, stats: list[float]) -> np.ndarray:
         row = np.zeros(len(self.vocabulary) + _STATS)
@@ -142,16 +143,19 @@ class Model:
         return _logistic(a), _logistic(b), _logistic(self.joint.score(np.stack([a, b], 1)))
 
 
+_FEATURES = "hashes array<int>, stats array<double>, meta array<double>"
+
+
+def _features(rows: list[tuple]) -> list[pa.Array]:
+    """Columns of (hashes, stats, meta)."""
+    doubles = pa.list_(pa.float64())
+    return [pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], doubles), pa.array([r[2] for r in rows], doubles)]
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(*text_features(r["text"]), meta_features(r["source"], r["lang"], r["n_chars"])) for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch["doc_id"], batch["good"], pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())),
-                pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.float64())),
-            ],
-            names=["doc_id", "good", "hashes", "stats", "meta"],
-        )
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["good"], *_features(rows)], names=["doc_id", "good", "hashes", "stats", "meta"])
 
 
 def _of_documents(docs: DataFrame) -> DataFrame:
@@ -161,21 +165,21 @@ def _of_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def sampled(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> list:
-    """Features of the bounded sample; ``good`` is 1 or 0, or -1 in the pool."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and good (1 or 0), a row for each labelled document."""
     bad = F.max(F.when((F.coalesce(F.col("quality"), F.lit(0)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1), 1).otherwise(0))
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - bad).alias("good"))
-    rows = _of_documents(docs)
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - bad).alias("good"))
+
+
+def sampled(docs: DataFrame, known: DataFrame, n_known: int, most: int = LABELLED) -> list:
+    """Features of at most about ``most`` labelled documents."""
     parts = 1 << 20
-    drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(parts))
-    counts = rows.select("doc_id").join(known, "doc_id", "left").agg(F.count("good").alias("known"), F.count(F.lit(1)).alias("all")).first()
-    share = lambda most, of: min(parts, most * parts // max(1, of))
-    few = rows.where(drawn < max(share(labelled, counts["known"]), share(pool, counts["all"] - counts["known"])))
-    chosen = few.join(known, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(-1))).where(
-        F.when(F.col("good") >= 0, drawn < share(labelled, counts["known"])).otherwise(drawn < share(pool, counts["all"] - counts["known"]))
-    )
-    found = chosen.mapInArrow(_sampled, "doc_id long, good int, hashes array<int>, stats array<double>, meta array<double>")
-    return sorted(stored(found, "cotraining-sample").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"] or 0))
+    share = min(parts, most * parts // max(1, n_known))
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(parts)) < share
+    chosen = known.where(drawn)
+    rows = _of_documents(docs).where(drawn).join(sized(chosen, 32 * most), "doc_id")
+    found = stored(rows.select("doc_id", "text", "source", "lang", "n_chars", "good").mapInArrow(_sampled, f"doc_id long, good int, {_FEATURES}"), "cotraining-sample")
+    return sorted(found.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"] or 0))
 
 
 def _vocabulary(rows: list, good: np.ndarray) -> dict[int, int]:
@@ -193,46 +197,83 @@ def _vocabulary(rows: list, good: np.ndarray) -> dict[int, int]:
     return {h: k for k, h in enumerate(sorted(best))}
 
 
-def fit(rows: list, rounds: int = ROUNDS) -> Model:
-    """The two views taught by each other on the labelled rows and the pool, calibrated on every fifth labelled row."""
-    known = [r for r in rows if r["good"] >= 0]
-    pool = [r for r in rows if r["good"] < 0]
-    good = np.array([r["good"] for r in known])
-    blank = Model({}, Logistic(), Logistic(), Logistic(), Logistic(), Logistic())
-    if len(set(good.tolist())) < 2 or len(known) < 20:
-        blank.constant = float(good.mean()) if len(good) else 1.0
-        return blank
-    held = np.arange(len(known)) % 5 == 0
-    blank.vocabulary = _vocabulary([r for r, h in zip(known, held, strict=True) if not h], good[~held])
-    text = np.array([blank.text_row(np.array(r["hashes"], np.int32), r["stats"]) for r in known + pool])
-    meta = np.array([r["meta"] for r in known + pool])
-    mine = {"text": text, "meta": meta}
-    learn = np.flatnonzero(~held)
-    taught = {view: {int(k): int(good[k]) for k in learn} for view in mine}
-    free = set(range(len(known), len(known) + len(pool)))
-    fits: dict[str, Logistic] = {}
+#: A pseudo-label: the view that gives it, kind, confidence, the document's key and its features.
+_HANDED_SCHEMA = f"view string, kind int, sure double, key long, {_FEATURES}"
+_VIEWS = ("text", "meta")
+
+
+def _surest(batches: Iterator[pa.RecordBatch], model: Model, taken: frozenset[int], most: int) -> Iterator[pa.RecordBatch]:
+    """The ``most`` documents of this partition, copies counted once, that each view is surest of, for each kind."""
+    best: dict[tuple[str, int], dict[int, tuple]] = {(view, kind): {} for view in _VIEWS for kind in (0, 1)}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            rows = batch.slice(at, 512).to_pylist()
+            found = [(*text_features(r["text"]), meta_features(r["source"], r["lang"], r["n_chars"])) for r in rows]
+            scores = {"text": model.text.score(np.array([model.text_row(h, s) for h, s, _ in found])), "meta": model.meta.score(np.array([m for *_, m in found]))}
+            for view, own in scores.items():
+                p = _logistic(own)
+                for kind in (0, 1):
+                    sure, kept = p if kind else 1 - p, best[view, kind]
+                    for k in np.flatnonzero(sure >= SURE).tolist():
+                        key = rows[k]["key"]
+                        if key not in taken and key not in kept:
+                            kept[key] = (float(sure[k]), key, found[k])
+                    if len(kept) > 4 * most:
+                        best[view, kind] = {x[1]: x for x in heapq.nsmallest(most, kept.values(), key=lambda x: (-x[0], x[1]))}
+    for (view, kind), kept in best.items():
+        rows = heapq.nsmallest(most, kept.values(), key=lambda x: (-x[0], x[1]))
+        if rows:
+            head = [pa.array([view] * len(rows)), pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*head, *_features([r[2] for r in rows])], names=["view", "kind", "sure", "key", "hashes", "stats", "meta"])
+
+
+def handed_over(unlabelled: DataFrame, model: Model, taken: set[int], most: int = HANDED) -> list:
+    """The pseudo-labels of a round, from all unlabelled documents. A document goes to the first view that names it."""
+    known = frozenset(taken)
+    every = stored(unlabelled.mapInArrow(lambda b: _surest(b, model, known, most), _HANDED_SCHEMA), "cotraining-surest")
+    out, gone = [], set(taken)
+    for view in _VIEWS:
+        for kind in (0, 1):
+            # more than are needed, for partitions may hold copies of one text and the other lists may name it
+            top = every.where((F.col("view") == view) & (F.col("kind") == kind)).dropDuplicates(["key"]).orderBy(F.desc("sure"), "key").limit(4 * most)
+            fresh = [r for r in top.collect() if r["key"] not in gone][:most]
+            gone.update(r["key"] for r in fresh)
+            out += fresh
+    return out
+
+
+def fit(rows: list, hand_over: Callable[[Model, set[int]], list], rounds: int = ROUNDS) -> Model:
+    """The two views taught by each other, calibrated on every fifth labelled row. ``hand_over``: a round's pseudo-labels by
+    the present views, without the documents given."""
+    good = np.array([r["good"] for r in rows])
+    model = Model({}, Logistic(), Logistic(), Logistic(), Logistic(), Logistic())
+    if len(set(good.tolist())) < 2 or len(rows) < 20:
+        model.constant = float(good.mean()) if len(good) else 1.0
+        return model
+    held = np.arange(len(rows)) % 5 == 0
+    learn = [r for r, h in zip(rows, held, strict=True) if not h]
+    model.vocabulary = _vocabulary(learn, good[~held])
+    features = {"text": lambda r: model.text_row(np.array(r["hashes"], np.int32), r["stats"]), "meta": lambda r: np.array(r["meta"])}
+    lessons = {view: ([row(r) for r in learn], list(good[~held])) for view, row in features.items()}
+    taken: set[int] = set()
     for turn in range(rounds + 1):
-        for view, x in mine.items():
-            at = np.array(sorted(taught[view]))
-            fits[view] = Logistic().fit(x[at], np.array([taught[view][int(k)] for k in at]))
-        if turn == rounds or not free:
+        model.text, model.meta = (Logistic().fit(np.array(lessons[view][0]), np.array(lessons[view][1])) for view in _VIEWS)
+        given = hand_over(model, taken) if turn < rounds else []
+        for r in given:
+            other = "meta" if r["view"] == "text" else "text"
+            lessons[other][0].append(features[other](r))
+            lessons[other][1].append(r["kind"])
+            taken.add(r["key"])
+        if not given:
             break
-        left = np.array(sorted(free))
-        for view, other in (("text", "meta"), ("meta", "text")):
-            p = _logistic(fits[view].score(mine[view][left]))
-            order = np.argsort(p, kind="stable")
-            for kind, some in ((0, order[:HANDED]), (1, order[::-1][:HANDED])):
-                for k in some:
-                    if (p[k] if kind else 1 - p[k]) >= SURE:
-                        taught[other][int(left[k])] = kind
-                        free.discard(int(left[k]))
+    model.taught = len(taken)
+    mine = {view: np.array([row(r) for r, h in zip(rows, held, strict=True) if h]) for view, row in features.items()}
     h = np.flatnonzero(held)
-    blank.text, blank.meta = fits["text"], fits["meta"]
-    a, b = blank.text.score(text[h])[:, None], blank.meta.score(meta[h])[:, None]
-    blank.text_scale, blank.meta_scale = Logistic().fit(a, good[h]), Logistic().fit(b, good[h])
-    both = np.stack([blank.text_scale.score(a), blank.meta_scale.score(b)], 1)
-    blank.joint = Logistic().fit(both, good[h])
-    return blank
+    a, b = model.text.score(mine["text"])[:, None], model.meta.score(mine["meta"])[:, None]
+    model.text_scale, model.meta_scale = Logistic().fit(a, good[h]), Logistic().fit(b, good[h])
+    both = np.stack([model.text_scale.score(a), model.meta_scale.score(b)], 1)
+    model.joint = Logistic().fit(both, good[h])
+    return model
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -252,9 +293,19 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             )
 
 
+def fitted(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int = LABELLED) -> Model:
+    """The model, from labelled documents and all others."""
+    known = stored(known_labels(labels), "cotraining-labels")
+    n_known = known.count()
+    rows = _of_documents(docs)
+    key = F.xxhash64("text", "source", "lang", "n_chars").alias("key")
+    unlabelled = rows.select("*", key).join(sized(known.select("doc_id"), 16 * n_known), "doc_id", "left_anti")
+    return fit(sampled(docs, known, n_known, most), lambda model, taken: handed_over(unlabelled, model, taken), rounds)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_text, p_meta, score, kept of every row of ``docs``."""
-    model = fit(sampled(docs, labels))
+    model = fitted(docs, labels)
     schema = "doc_id long, p_text double, p_meta double, score double, kept boolean"
     return _of_documents(docs).mapInArrow(lambda b: _scored(b, model), schema)
 

@@ -11,11 +11,11 @@ as that allows. Projected gradient steps run on all documents: a step is one
 aggregate of K sums, and what the driver holds is those K numbers. A rate becomes whole
 copies by a seeded draw of the document's id.
 
-The classifier counts in how many labelled documents of each domain a word occurs, keeps a fixed
-number of words for each domain but the first that speak for it, and adds up log odds of the words that a
-document has and lacks. Words of plain text aren't evidence: they tell languages apart, not domains. It is fitted
-on at most ``sample`` labelled documents, chosen by a hash, of which equal ones count once; all else
-covers all rows.
+The classifier, a logistic regression of the domains, takes all words of a document, hashed to ``BUCKETS``, and bins of
+its surface (symbols, capitals, digits, word length, repetition, length) for its features. No word is left out by a count
+or a rank: an L1 penalty shrinks the weights, most of them to nothing, for most words tell languages apart, not domains.
+It is fitted on at most about ``sample`` labelled documents, chosen by a hash, of which equal
+ones count once; all else covers all rows.
 
 Only DataFrame functions run on the rows. A null or blank text has no tokens, prior
 posteriors and the rate that these give. Labels that are null count as 0; labels of no
@@ -26,26 +26,27 @@ the same rate if their texts are equal. An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
+import json
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import documents, stored
+from lexispan.llm.common import documents, sized, stored, text_of
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
-#: Labelled documents at most that the classifier is fitted on, and words it keeps for each domain.
+#: Labelled documents at most that the classifier is fitted on.
 SAMPLE = 4_000
-WORDS_EACH = 64
-#: Labelled documents that a word must occur in, and standard errors by which it must stand out
-#: against each of the other domains that have a fair number of labelled documents.
-MIN_DOCUMENTS = 6
-MIN_STRENGTH = 4.0
-MIN_LABELLED = 30
+#: Buckets of words; bins of the surface have their own after these.
+BUCKETS = 1 << 15
+BINS = 32
+#: Penalty of a weight's size, and steps of the fit.
+SHRINK = 1e-3
+FIT_STEPS = 150
 STEPS = 24
 RIDGE = 0.02
-MAX_RATE = 4.0
 SEED = 42
 
 
@@ -55,8 +56,35 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda w: w != "")
 
 
+def _features(text: Column, words: Column, n: Column) -> Column:
+    """The distinct words' buckets and the bins of the surface. ``words``: the distinct ones; ``n``: how many there are with repeats."""
+    some, chars = F.greatest(n, F.lit(1)), F.greatest(F.length(text), F.lit(1))
+    measures = [
+        20 * F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / some,
+        20 * F.regexp_count(text, F.lit(r"\p{Lu}")) / chars,
+        20 * F.regexp_count(text, F.lit(r"[0-9]")) / chars,
+        20 * F.regexp_count(text, F.lit("!")) / some,
+        chars / some,
+        20 * F.size(words) / some,
+        F.log2(some) * 2,
+    ]
+    bins = [BUCKETS + BINS * k + F.floor(F.least(m, F.lit(BINS - 1))) for k, m in enumerate(measures)]
+    hashed = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)))
+    return F.array_distinct(F.concat(hashed, F.array(*[b.cast("long") for b in bins])))
+
+
+WIDTH = BUCKETS + BINS * 7
+
+
+def featured(rows: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """``keep``, tokens and features of every row."""
+    cut = rows.select(*keep, text.alias("mix_text"), _tokens(text).alias("mix_words"))
+    cut = cut.select(*keep, "mix_text", F.size("mix_words").cast("long").alias("tokens"), F.array_distinct("mix_words").alias("mix_words"))
+    return cut.select(*keep, "tokens", _features(F.col("mix_text"), F.col("mix_words"), F.col("tokens")).alias("features"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """domain and the distinct words of at most about ``sample`` labelled documents, chosen by a hash of their id."""
+    """domain and features of at most about ``sample`` labelled documents, chosen by a hash of their id."""
     flag = lambda c: F.max(F.coalesce(F.col(c).cast("int"), F.lit(0)))
     good = F.min(F.coalesce(F.col("quality").cast("int"), F.lit(0)))
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(good.alias("quality"), flag("toxic").alias("toxic"))
@@ -70,82 +98,93 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     parts = 1 << 20
     share = min(parts, sample * parts // max(1, marked.count()))
     chosen = marked.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(parts)) < share)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(chosen, "doc_id").select(
-        "domain", F.array_distinct(_tokens(F.col("text"))).alias("words")
-    ).dropDuplicates(["domain", "words"])
-
-
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[float], dict[str, list[float]]] | None:
-    """Log scores of a document without any of the model's words, and what each word adds to them."""
-    seen = stored(labelled_sample(docs, labels, sample), "mixing-sample")
-    totals = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = [totals.get(k, 0) for k in range(len(DOMAINS))]
-    if not sum(n):
-        return None
-    counts = seen.select("domain", F.explode("words").alias("word")).groupBy("word").agg(
-        *[F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(len(DOMAINS))]
-    )
-    rates = {k: (F.col(f"n{k}") + 0.5) / (n[k] + 1.0) for k in range(len(DOMAINS))}
-    everything = sum((F.col(f"n{k}") for k in range(len(DOMAINS))), F.lit(0))
-    model: dict[str, list[float]] = {}
-    base = [math.log((n[k] + 1.0) / (sum(n) + len(DOMAINS))) for k in range(len(DOMAINS))]
-    for k in range(1, len(DOMAINS)):
-        others = [j for j in range(len(DOMAINS)) if j != k and n[j] >= MIN_LABELLED]
-        if not others:
-            continue
-        error = lambda j: rates[j] * (1 - rates[j]) / (n[j] + 1.0)
-        gains = [(rates[k] - rates[j]) / F.sqrt(error(k) + error(j)) for j in others]
-        strength = F.least(*gains) if len(gains) > 1 else gains[0]
-        best = counts.where((everything >= MIN_DOCUMENTS) & (strength >= MIN_STRENGTH)).orderBy(strength.desc(), "word").limit(WORDS_EACH)
-        for row in best.collect():
-            model[row["word"]] = [row[f"n{j}"] for j in range(len(DOMAINS))]
-    for word, seen_in in model.items():
-        odds = [(seen_in[k] + 0.5) / (n[k] + 1.0) for k in range(len(DOMAINS))]
-        model[word] = [math.log(p / (1 - p)) for p in odds]
-        base = [b + math.log(1 - p) for b, p in zip(base, odds, strict=True)]
-    return base, model
-
-
-def posteriors(docs: DataFrame, model: tuple[list[float], dict[str, list[float]]] | None, keep: list[Column]) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).join(sized(chosen, 32 * sample), "doc_id")
+    return featured(rows, F.col("text"), ["domain"]).select("domain", F.sort_array("features").alias("features")).distinct()
+
+
+@dataclass(frozen=True)
+class Model:
+    """base: of each domain; features: those with a weight; weights: of these, by domain."""
+
+    base: list[float]
+    features: list[int]
+    weights: list[list[float]]
+
+    def met(self, features: Column) -> Column:
+        """Places in the model of the features that it knows."""
+        place = [0] * WIDTH
+        for k, f in enumerate(self.features):
+            place[f] = k + 1
+        table = F.from_json(F.lit(json.dumps(place)), "array<int>")  # folded to one constant
+        return F.filter(F.transform(features, lambda b: F.get(table, b.cast("int"))), lambda k: k > 0)
+
+    def scores(self, met: Column) -> list[Column]:
+        """Log scores of the domains."""
+        summed = lambda base, t: F.aggregate(met, F.lit(base), lambda a, k: a + F.get(t, k - 1))
+        return [summed(base, F.from_json(F.lit(json.dumps(w)), "array<double>")) for base, w in zip(self.base, self.weights, strict=True)]
+
+
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    powers = np.exp(scores - scores.max(1, keepdims=True))
+    return powers / powers.sum(1, keepdims=True)
+
+
+def regression(domains: list[int], features: list[list[int]], shrink: float = SHRINK, steps: int = FIT_STEPS) -> Model:
+    """Proximal gradient steps, scaled by each weight's past gradients."""
+    ks, n = range(len(DOMAINS)), len(domains)
+    row, f = np.repeat(np.arange(n), [len(x) for x in features]), np.concatenate([np.array(x, np.int64) for x in features])
+    want = np.eye(len(DOMAINS))[np.array(domains)]
+    w, seen = np.zeros((len(DOMAINS), WIDTH)), np.zeros((len(DOMAINS), WIDTH))
+    base = np.log(want.mean(0) + 1 / (n + len(DOMAINS)))
+    for _ in range(steps):
+        error = _softmax(np.stack([np.bincount(row, w[k][f], n) for k in ks], 1) + base) - want
+        for k in ks:
+            pull = np.bincount(f, error[row, k], WIDTH) / n
+            seen[k] += pull * pull
+            size = 0.6 / (np.sqrt(seen[k]) + 1e-6)
+            moved = w[k] - size * pull
+            w[k] = np.sign(moved) * np.maximum(0.0, np.abs(moved) - size * shrink)
+        base -= 0.5 * error.mean(0)
+    known = np.flatnonzero(np.abs(w).max(0) > 0)
+    return Model(base.tolist(), known.tolist(), [[round(float(x), 6) for x in w[k][known]] for k in ks])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    seen = sorted((r["domain"], r["features"]) for r in stored(labelled_sample(docs, labels, sample), "mixing-sample").collect())
+    return regression([d for d, _ in seen], [f for _, f in seen]) if seen else None
+
+
+def posteriors(docs: DataFrame, model: Model | None, keep: list[Column]) -> DataFrame:
     """``keep``, tokens, and p_<domain> of every document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*keep, _tokens(text).alias("mix_words"))
-    names = [c for c in rows.columns if c != "mix_words"]
-    tokens = F.size("mix_words").cast("long").alias("tokens")
+    rows = docs.select(*keep, text_of(docs).alias("mix_text"))
+    names = [c for c in rows.columns if c != "mix_text"]
     if model is None:
+        tokens = F.size(_tokens(F.col("mix_text"))).cast("long").alias("tokens")
         return rows.select(*names, tokens, *[F.lit(TARGETS[d]).alias(f"p_{d}") for d in DOMAINS])
-    base, weights = model
-    if weights:
-        words = F.array(*[F.lit(w) for w in weights])
-        met = rows.select(*names, tokens, F.array_intersect("mix_words", words).alias("met"))
-        tables = [F.create_map(*[F.lit(x) for w, v in weights.items() for x in (w, v[k])]) for k in range(len(DOMAINS))]
-
-        def total(k: int) -> Column:
-            return F.aggregate("met", F.lit(base[k]), lambda a, w: a + F.element_at(tables[k], w))
-
-        score = [total(k) for k in range(len(DOMAINS))]
-    else:
-        met, score = rows.select(*names, tokens), [F.lit(b) for b in base]
-    scored = met.select(*names, "tokens", *[s.alias(f"s{k}") for k, s in enumerate(score)])
+    ready = featured(rows, F.col("mix_text"), names).select(*names, "tokens", model.met(F.col("features")).alias("met"))
+    scored = ready.select(*names, "tokens", *[s.alias(f"s{k}") for k, s in enumerate(model.scores(F.col("met")))])
     top = F.greatest(*[f"s{k}" for k in range(len(DOMAINS))])
     powers = scored.select(*names, "tokens", *[F.exp(F.col(f"s{k}") - top).alias(f"e{k}") for k in range(len(DOMAINS))])
     whole = sum((F.col(f"e{k}") for k in range(1, len(DOMAINS))), F.col("e0"))
     return powers.select(*names, "tokens", *[(F.col(f"e{k}") / whole).alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
 
 
-def _stepped(gradients: list[list[float]], ridge: float, most: float) -> Column:
+def _stepped(gradients: list[list[float]], ridge: float, most: float | None) -> Column:
     """The rate after as many projected gradient steps as there are gradients, from one."""
     size = 1 / (1 + ridge)
     rate = F.lit(1.0)
     for g in gradients:
         pull = sum((F.col(f"p_{d}") * (size * g[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        rate = F.least(F.greatest(rate * (1 - size * ridge) + size * ridge - pull, F.lit(0.0)), F.lit(most))
+        rate = F.greatest(rate * (1 - size * ridge) + size * ridge - pull, F.lit(0.0))
+        rate = rate if most is None else F.least(rate, F.lit(most))
     return rate
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS, ridge: float = RIDGE, most: float = MAX_RATE) -> DataFrame:
-    """``members`` (tokens, p_<domain>) with a rate. The table should be stored: it is read once a step."""
+def fit_rates(
+    members: DataFrame, targets: dict[str, float], steps: int = STEPS, ridge: float = RIDGE, most: float | None = None, spare: tuple[str, ...] = ()
+) -> DataFrame:
+    """``members`` (tokens, p_<domain>) with a rate. The table should be stored: it is read once a step. ``most``: largest
+    rate, if any. ``spare``: domains whose target is raised to their present share, so that none of them is given up."""
     gradients: list[list[float]] = []
     mass = [F.sum(F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]
     before = members.agg(F.sum("tokens").alias("all"), *mass).first()
@@ -154,6 +193,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS,
         return members.withColumn("rate", F.lit(1.0))
     share = [max(before[d] / total, 1e-6) for d in DOMAINS]
     goal = [targets[d] / sum(targets.values()) for d in DOMAINS]
+    kept = {k: max(goal[k], share[k]) for k, d in enumerate(DOMAINS) if d in spare}
+    rest = sum(g for k, g in enumerate(goal) if k not in kept)
+    goal = [kept[k] if k in kept else g * max(0.0, 1 - sum(kept.values())) / rest if rest else 0.0 for k, g in enumerate(goal)]
     for _ in range(steps):
         rate = _stepped(gradients, ridge, most)
         now = members.select("tokens", *[f"p_{d}" for d in DOMAINS], rate.alias("rate")).agg(
@@ -168,24 +210,37 @@ def _copies(seed: int) -> Column:
     return (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE) -> DataFrame:
+def mixing_rates(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE, most: float | None = None, spare: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, tokens, p_good, p_poor, p_toxic, rate, copies of every row of ``docs``."""
     model = fitted(docs, labels, sample)
     members = posteriors(docs, model, [F.col("doc_id").cast("long").alias("doc_id")])
-    rated = fit_rates(stored(members, "mixing-members"), targets or TARGETS)
+    rated = fit_rates(stored(members, "mixing-members"), targets or TARGETS, most=most, spare=spare)
     return rated.withColumn("copies", _copies(SEED))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE, most: float | None = None, spare: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with every row repeated or left out as its rate says."""
     model = fitted(docs, labels, sample)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     own = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = stored(posteriors(own, model, [F.col("row"), F.col("doc_id")]), "mixing-members")
-    rated = fit_rates(members, targets or TARGETS).withColumn("copies", _copies(SEED)).where("copies > 0")
+    rated = fit_rates(members, targets or TARGETS, most=most, spare=spare).withColumn("copies", _copies(SEED)).where("copies > 0")
     repeated = rated.select("row", F.explode(F.sequence(F.lit(1), "copies")))
     return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+def achieved(rated: DataFrame) -> DataFrame:
+    """Each domain's share of the expected tokens, before and with the rates or the copies. ``rated``: of ``mixing_rates``."""
+    parts = [F.struct(F.lit(d).alias("domain"), (F.col("tokens") * F.col(f"p_{d}")).alias("mass")) for d in DOMAINS]
+    flat = rated.select("tokens", "rate", "copies", F.explode(F.array(*parts)).alias("m")).select("tokens", "rate", "copies", "m.*")
+    sums = flat.groupBy("domain").agg(
+        F.sum("tokens").alias("all"), F.sum("mass").alias("before"), F.sum(F.col("mass") * F.col("rate")).alias("expected"),
+        F.sum(F.col("tokens") * F.col("copies")).alias("drawn"), F.sum(F.col("mass") * F.col("copies")).alias("copied"),
+    )
+    return sums.select("domain", (F.col("before") / F.col("all")).alias("before"), (F.col("expected") / F.col("all")).alias("expected"), (F.col("copied") / F.col("drawn")).alias("drawn"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

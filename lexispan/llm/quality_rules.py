@@ -128,8 +128,11 @@ def quality_measures(docs: DataFrame, keep: list[str], thresholds=None) -> DataF
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the rules reject; the columns stay as they are."""
-    kept = quality_measures(docs, docs.columns).where("kept")
+    """``docs`` without the documents that the rules reject; the columns stay as they are.
+
+    The verdict passes a generator, which keeps the filter from being pushed below the projections, where each measure
+    would be worked out again."""
+    kept = quality_measures(docs, docs.columns).select("row", F.explode(F.array("kept")).alias("stays")).where("stays")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

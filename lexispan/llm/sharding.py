@@ -1,9 +1,10 @@
 """Sharding by proportional stratified interleaving.
 
 The rows of every source are put in a seeded pseudo-random order and ranked; a row's
-fractional rank is (rank - 1/2) / rows of its source. Ordered by fractional rank, any
-stretch of the corpus holds every source in proportion, so cutting that order into
-equal runs gives shards that match the mixture. Shard sizes differ by one row at most.
+fractional rank is (rank - 1 + phase) / rows of its source, where the phase, from 0 to 1, is a seeded
+hash of the source, so that the first rows of very many small sources don't all stand at one
+place. Ordered by fractional rank, any stretch of the corpus holds every source in proportion, so cutting that order
+into equal runs gives shards that match the mixture. Shard sizes differ by one row at most.
 
 No window runs over a whole source or a whole corpus: rows are dealt to fixed ranges of
 the ordering key, counted per range (a small aggregate), and numbered inside a range
@@ -12,7 +13,7 @@ after the rows of the ranges before it are known.
 Nulls: a null source is a source of its own; null ids and null texts are kept (size 16).
 Repeated rows are ordered by what distinguishes them and, if nothing does, among
 themselves arbitrarily, which leaves the result the same multiset. An empty table gives
-no rows. Other columns are ignored.
+no rows. Other columns are ignored. DuckDB has no crc32, so the query is tested against a plain version, not SQL.
 """
 
 from __future__ import annotations
@@ -66,7 +67,8 @@ def interleaved_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED)
     by_draw = [F.col(c) for c in ("draw", "doc_id", "text_crc32", "size")]
     of_draw = F.shiftrightunsigned("draw", 64 - 12).bitwiseXOR(F.lit(RANGES // 2))
     ranked = numbered(rows, ["source"], of_draw, by_draw, "rank", "source_rows")
-    placed = ranked.withColumn("fraction", (F.col("rank") + 0.5) / F.col("source_rows"))
+    phase = F.pmod(F.xxhash64(F.lit(seed), F.lit("phase"), F.col("source")), F.lit(1 << 20)) / (1 << 20)
+    placed = ranked.withColumn("fraction", (F.col("rank") + phase) / F.col("source_rows"))
     by_fraction = [F.col(c) for c in ("fraction", "source", "draw", "doc_id", "text_crc32", "size")]
     of_fraction = F.floor(F.col("fraction") * RANGES)
     ordered = numbered(placed, [], of_fraction, by_fraction, "position", "rows")
@@ -83,6 +85,3 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
-
-#: DuckDB has no crc32 and another hash, so the query is tested against a brute-force version instead.
-ORACLE = None

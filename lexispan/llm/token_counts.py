@@ -1,14 +1,17 @@
 """Token counts with overlap resynchronisation.
 
-A huge document is encoded in overlapping chunks, with offsets. Two neighbouring chunks are
-spliced at a boundary that both have and that is proven stable: the tokenizer drops white
-space before it merges and no rule reaches across it, so tokens on one side of a blank don't
-depend on the other; where, besides, both chunks list the same tokens up to the blank from
-an earlier blank in the overlap, the count goes over from one to the other. If the overlap
-has no such place, it is widened, at last to all the text so far, which needs no splice.
-
-Other documents need no chunks. Stretches between blanks are boundaries of the same
-kind, so a worker counts each different stretch once and remembers it, within a bound.
+A document longer than a chunk is encoded in overlapping chunks, with offsets. Two neighbouring
+chunks are spliced behind a token that both have, the same token at the same place. That such a
+boundary is stable can be proven: a sequence of tokens is the encoding of its text exactly if each two
+neighbours are the encoding of theirs; left of the boundary the pairs are the left chunk's, right of it
+and across it (for the shared token is also the right chunk's) they are the right chunk's. Tokens at a
+word's end differ from those inside it, so a shared token also tells that both chunks are at the same place of
+a word, and the white space between words starts anew in any case. If the overlap has no shared token it is
+widened, and if the whole chunk has none, the chunk is made twice as long, so the work stays in proportion to the
+text whatever it consists of; text without blanks needs no more than other text.
+
+A document of one chunk has nothing to splice. White space is a boundary of the same kind, as the tokenizer drops
+it before it merges, so a worker counts each different stretch between blanks once and remembers it, within a bound.
 
 A null text is empty and has no tokens. Repeated rows, null ids and an empty table need
 nothing special. Other columns aren't read.
@@ -28,14 +31,11 @@ from lexispan.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
-#: Characters of a chunk, of its first overlap, and of a text that is cut into chunks.
-CHUNK = 16_384
+#: Characters of a chunk, and of its first overlap.
+CHUNK = 32_768
 OVERLAP = 256
-HUGE = 32_768
 #: Stretches that a worker remembers before it starts anew.
 REMEMBERED = 400_000
-#: The blanks that cut stretches; others also are white space to the tokenizer but aren't needed.
-BLANKS = " \t\n\r\x0b\x0c"
 
 
 @lru_cache(maxsize=2)
@@ -49,43 +49,54 @@ def _tokenizer(path: str):
     return own
 
 
-def _offsets(own, text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Where the tokens of text[start:end] lie in the whole text."""
-    found = own.encode(text[start:end], add_special_tokens=False).offsets
-    return [(start + s, start + e) for s, e in found]
+Token = tuple[int, int, int]
+
+
+def _tokens(own, text: str, start: int, end: int) -> list[Token]:
+    """Start and end in the whole text, and id, of the tokens of text[start:end]."""
+    found = own.encode(text[start:end], add_special_tokens=False)
+    return [(start + s, start + e, i) for (s, e), i in zip(found.offsets, found.ids, strict=True)]
+
+
+def _ends(tokens: list[Token], start: int) -> dict[int, list[Token]]:
+    """Places behind ``start`` where a token ends and none goes on, with the tokens that end there (more than one if
+    a character takes several)."""
+    out: dict[int, list[Token]] = {}
+    for k, token in enumerate(tokens):
+        if token[0] >= start:
+            out.setdefault(token[1], []).append(token)
+            if k + 1 < len(tokens) and tokens[k + 1][0] < token[1] != tokens[k + 1][1]:
+                del out[token[1]]
+    return out
 
 
-def _splice(text: str, left: list[tuple[int, int]], right: list[tuple[int, int]], start: int, end: int) -> int | None:
-    """The last blank in text[start:end], the overlap, up to which from an earlier blank both have the same tokens."""
-    blanks = [p for p in range(start, end) if text[p] in BLANKS]
-    if len(blanks) < 2:
-        return None
-    first, last = blanks[0], blanks[-1]
-    inside = lambda tokens: [t for t in tokens if first <= t[0] < last]
-    return last if inside(left) == inside(right) else None
+def _splice(left: list[Token], right: list[Token], start: int, end: int) -> int | None:
+    """The last place in the overlap, from ``start`` to ``end``, behind a token that both have."""
+    a, b = _ends(left, start), _ends([t for t in right if t[0] < end], start)
+    return max((at for at, tokens in a.items() if at <= end and b.get(at) == tokens), default=None)
 
 
 def count_in_chunks(own, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text that is encoded a chunk at a time."""
+    """Tokens of a text that is encoded a chunk at a time. An overlap holds the longest special string, so that a chunk
+    that starts inside one meets the chunk before that has it whole."""
+    overlap = max(overlap, *(len(t.content) for t in own.get_added_tokens_decoder().values()), 1)
     total, begin, start = 0, 0, 0  # tokens before ``begin`` are counted; the present chunk starts at ``start``
     end = min(len(text), chunk)
-    tokens = _offsets(own, text, start, end)
+    tokens = _tokens(own, text, start, end)
     while end < len(text):
-        wide = overlap
-        while True:
-            following = max(start, end - wide)
-            stop = min(len(text), end + chunk)
-            more = _offsets(own, text, following, stop)
-            if following == start:  # the new chunk holds the present one: nothing to splice
-                break
-            at = _splice(text, tokens, more, following, end)
-            if at is not None and at >= begin:
-                total += sum(begin <= s < at for s, _ in tokens)
-                begin = at
-                break
+        wide, at = overlap, None
+        while at is None and end - wide > start:
+            following, stop = end - wide, min(len(text), end + chunk)
+            more = _tokens(own, text, following, stop)
+            at = _splice(tokens, more, max(following, begin), end)
             wide *= 4
-        start, end, tokens = following, stop, more
-    return total + sum(begin <= s for s, _ in tokens)
+        if at is None:  # nothing shared in all of the chunk
+            end = min(len(text), start + 2 * (end - start))
+            tokens = _tokens(own, text, start, end)
+        else:
+            total += sum(begin <= s < at for s, _, _ in tokens)
+            begin, start, end, tokens = at, following, stop, more
+    return total + sum(begin <= s for s, _, _ in tokens)
 
 
 class Counter:
@@ -94,7 +105,7 @@ class Counter:
         self.seen: dict[bytes, int] = {}
 
     def counts(self, texts: list[str]) -> list[int]:
-        huge = {k for k, t in enumerate(texts) if len(t) > HUGE}
+        huge = {k for k, t in enumerate(texts) if len(t) > CHUNK}
         stretches = [[] if k in huge else t.encode().split() for k, t in enumerate(texts)]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
