@@ -3,10 +3,9 @@
 Rolling-hash triggers cut every distinct text into phrases: a trigger is a place whose 8 bytes
 have the least hash of some 128 places in a row, so a phrase has 128 bytes at most and where it
 ends depends on what follows its start. The *parse* is a row for each text: where its phrases
-start, and the hash of each phrase, its name in the *dictionary*. Parse suffixes are told apart
-by prefix doubling over the names: two phrases from a trigger on lie within the 272 bytes that
-every string of 400 bytes has after its trigger, so one doubling settles which parse suffixes can
-share them; those that are alone in their class are in place and drop out.
+start, and the hash of each phrase, its name in the *dictionary*. Every string of 400 bytes has 272
+bytes after its trigger, and the phrases that these settle, two at least, are the class of the parse suffix
+there. Suffixes that are alone in their class have no such string in common with any other and drop out.
 
 The suffixes of the corpus that are left start inside a phrase, and their place in corpus order
 is that of a dictionary suffix (the bytes up to the trigger) and of the parse suffix after it. For a
@@ -35,18 +34,28 @@ from lexispan.llm.common import KEY, by_text, documents, text_key, text_of
 from lexispan.llm.spans import Layout, Piece, by_repeats, removed_runs
 
 LENGTH = 400
-_DOUBLE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def phrase_pairs(piece: Piece) -> np.ndarray:
-    """For each anchor the class of the parse suffix that starts there, by its first two phrases."""
-    view, digest, cuts = memoryview(piece.data), xxhash.xxh3_64_intdigest, piece.triggers.tolist()
-    names = np.array([digest(view[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)], np.uint64)
-    classes = (names[:-1] ^ (names[:-1] >> np.uint64(31))) * _DOUBLE + names[1:]
-    return classes[np.searchsorted(piece.triggers, piece.anchors)].view(np.int64)
-
-
-BYTES = Layout(length=LENGTH, reach=128, gram=8, steps=(16, 1), words=False, seeds=phrase_pairs)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def parse_classes(piece: Piece) -> np.ndarray:
+    """For each anchor the class of the parse suffix that starts there: the names of the phrases whose ends the bytes that
+    all its windows have settle. An end is settled by its own 8 bytes if its hash is less than that of the phrase's start, else
+    once as many places as a trigger reaches have been seen."""
+    view, digest, cuts = memoryview(piece.data), xxhash.xxh3_64_intdigest, piece.triggers
+    reach, gram = piece.layout.reach, piece.layout.gram
+    pairs = zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+    names = np.array([digest(view[x:y]) for x, y in pairs], np.uint64)
+    settled = np.where(piece.hashes[1:] < piece.hashes[:-1], cuts[1:] + gram, cuts[:-1] + reach + gram)
+    first = np.searchsorted(cuts, piece.anchors)
+    last = np.searchsorted(settled, piece.anchors + piece.layout.common, side="right")
+    n = len(names)
+    powers = np.cumprod(np.full(n + 1, _BASE, np.uint64))
+    inverse = np.cumprod(np.full(n + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names * powers[:-1])))
+    return ((sums[last] - sums[first]) * inverse[first]).view(np.int64)
+
+
+BYTES = Layout(length=LENGTH, reach=128, gram=8, steps=(16, 1), words=False, seeds=parse_classes)
 
 
 def _removed(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ HOT_SHARE = 1_000
 
 KEY = ["t1", "t2"]
 
-_paths: dict[int, tuple[DataFrame, str]] = {}
+_paths: dict[int, tuple[DataFrame, str, str | None]] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,16 +43,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
-    _paths[id(read)] = (read, path)
+    _paths[id(read)] = (read, path, None)
+    return read
+
+
+def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """As ``stored``, in as many buckets of ``keys`` as shuffles have partitions: joins on these keys move the other side only."""
+    spark = df.sparkSession
+    path, name = scratch(spark, label), f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    read = spark.table(name)
+    _paths[id(read)] = (read, path, name)
     return read
 
 
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for table in tables:
-        _, path = _paths.pop(id(table), (None, None))
+        _, path, name = _paths.pop(id(table), (None, None, None))
         if path:
             spark = table.sparkSession
+            if name:
+                spark.sql(f"drop table {name}")
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -68,11 +81,10 @@ def text_key(text: Column) -> list[Column]:
 
 
 def distinct_texts(docs: DataFrame, label: str) -> DataFrame:
-    """t1, t2, copies, text of every different text."""
+    """t1, t2, copies, text of every different text, in buckets of the key: texts are shuffled once."""
     rows = docs.select(text_of(docs).alias("text"))
-    return stored(
-        rows.select(*text_key(F.col("text")), "text").groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), label
-    )
+    once = rows.select(*text_key(F.col("text")), "text").groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    return bucketed(once, KEY, label)
 
 
 def by_text(rows: DataFrame, results: DataFrame) -> DataFrame:

@@ -61,12 +61,14 @@ class Layout:
 
 @dataclass(frozen=True)
 class Piece:
-    """A stretch of a text: its bytes, where its tokens start and end, all triggers, and those that are units' anchors."""
+    """A stretch of a text: its bytes, where its tokens start and end, all triggers with their hashes, and those triggers
+    that are units' anchors."""
 
     data: bytes
     starts: np.ndarray
     ends: np.ndarray
     triggers: np.ndarray
+    hashes: np.ndarray
     anchors: np.ndarray
     layout: Layout
 
@@ -132,13 +134,14 @@ def units_of(text: str | None, layout: Layout) -> Iterator[tuple[np.ndarray, np.
         base = int(starts[at])
         s, e = starts[at:last] - base, ends[at:last] - base
         piece = data[base : int(ends[last - 1])]
-        every = _anchors(_gram_hashes(piece, s, e, layout), layout.reach)
+        hashes = _gram_hashes(piece, s, e, layout) >> np.uint64(32)
+        every = _anchors(hashes << np.uint64(32), layout.reach)
         anchor = every[:count]
         lo = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
         hi = np.concatenate((lo[1:] - 1, [count - 1]))
         triggers = every[np.concatenate(([True], np.diff(every) != 0))]
         b = anchor[lo]
-        yield lo + at, hi + at, b + at, layout.seeds(Piece(piece, s, e, triggers, b, layout))
+        yield lo + at, hi + at, b + at, layout.seeds(Piece(piece, s, e, triggers, hashes[triggers], b, layout))
 
 
 def following_tokens(piece: Piece) -> np.ndarray:
