@@ -28,7 +28,7 @@ def built(tracks: DataFrame, lexicon: DataFrame | None = None, max_ngram: int =
     located = segments.select("source_language", "video_key", "segment_id", X.tokens_with_spans("text").alias("located"))
     spans = located.select("source_language", "video_key", "segment_id", F.posexplode("located").alias("pos", "t"))
     spans = spans.select(
-        "source_language", "video_key", "segment_id", "pos", X.normalize_token(F.col("t.surface")).alias("tok"), "t.surface",
+        "source_language", "video_key", "segment_id", "pos", F.col("t.tok").alias("tok"), "t.surface",
         F.col("t.start").alias("char_start"), F.col("t.end").alias("char_end"),
     )
     exact = spans.withColumn("kind", F.lit("exact"))
@@ -61,10 +61,14 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
-    def build(self, raw_root: str, build: str, lexicon: DataFrame | None = None, channels: DataFrame | None = None) -> str:
+    def build(self, raw_root: str, build: str, lexicon: DataFrame | None = None, channels: DataFrame | None = None, manifests: DataFrame | None = None) -> str:
+        """Indexes the tracks under ``raw_root``: of enabled channels (see ``captions.channels``), and of videos with a manifest
+        (video_key, canonical_source_track_id) only the track that it names."""
         tracks = captions.checked(captions.scan(self.spark, raw_root))
         if channels is not None:
             tracks = captions.without_disabled(tracks, channels)
+        if manifests is not None:
+            tracks = captions.canonical(tracks, manifests)
         return index_store.publish(built(tracks, lexicon), self.root, build)
 
     def table(self, name: str) -> DataFrame:
@@ -73,7 +77,7 @@ class Engine:
     def search(self, query: str, language: str, mode: str = "auto", order: str = "ranked", limit: int = 20, seed: str | None = None) -> Found:
         """The page of hits, best first or in seeded order, and totals by mode before anything is dropped."""
         surfaces = [s for s, _, _ in X.spans_of(query)]
-        words = [X.fold_text(s).replace("’", "'") for s in surfaces]
+        words = [X.normal_token(s) for s in surfaces]
         S.validated(query, words, mode, order, limit, seed)
         tokens = self.table("stream_tokens").where(F.col("source_language") == language)
         segments = self.table("segments").where(F.col("source_language") == language)
@@ -90,17 +94,19 @@ class Engine:
         last = seeds.select("segment_id", (F.col("pos") - (n - 1)).alias("pos"), "char_end")
         wide = occurrences.where(asked).join(first, ["segment_id", "pos"]).join(last, ["segment_id", "pos"])
         playable = segments.where(F.coalesce("playable_in_embed", F.lit(True)))
-        rows = wide.join(playable, "segment_id")
+        rows = wide.join(playable.select("segment_id", "video_key", "clip_start", "quality", "token_count", "text"), "segment_id")
         matched = F.expr("substring(text, char_start + 1, char_end - char_start)")
-        rows = rows.withColumn("matched", matched).withColumn("accent_exact", F.lower("matched") == F.lit(query.strip().lower()))
+        rows = rows.withColumn("matched", matched).withColumn("accent_exact", X.accent_key(F.col("matched")) == F.lit(X.accent_key_text(query)))
         scored = S.scored(rows, n).withColumn("occurrence_id", ids.occurrence_id(F.col("segment_id"), F.col("char_start"), F.col("char_end")))
         keys = [F.desc("score"), "video_key", "clip_start", "char_start", "occurrence_id"]
-        best = S.best_of_segment(scored, ["segment_id"], [F.desc("in_exact"), *keys])
+        best = S.best_of_segment(scored.drop("text"), ["segment_id"], [F.desc("in_exact"), *keys])
         if order == "random":
             page = S.random_page(best, "occurrence_id", seed, limit)
         else:
             page = S.diversified(best.withColumn("tier", 1 - F.col("in_exact")), "tier", "video_key", keys, limit)
-        return Found(page, S.totals(occurrences))
+        # the rest of a segment's columns is looked up for the page only
+        own = [c for c in segments.columns if c not in page.columns or c == "segment_id"]
+        return Found(segments.select(*own).join(F.broadcast(page), "segment_id"), S.totals(occurrences))
 
     def _candidates(self, language: str, words: list[str]) -> list[list[str]]:
         """Lemmas that the corpus has seen for each query word, and the word itself where it is a lemma: a lookup of a few rows."""

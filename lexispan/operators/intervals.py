@@ -76,19 +76,21 @@ def capped_merge(rows: DataFrame, key: str, gap: float, longest: float) -> DataF
     return even_pieces(rows.select(key, "start", "end"), longest).groupBy(key).applyInPandas(fold, f"`{key}` {kind}, start double, end double")
 
 
-def label_runs(windows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Runs of equal labels over ordered windows; neighbours of unlike labels meet halfway between them."""
+def label_runs(windows: DataFrame, keys: list[str], label: str, probability: str | None = None) -> DataFrame:
+    """Runs of equal labels over ordered windows, with the mean ``probability`` of their windows. Where a run's first or last
+    window overlaps its neighbour the two are split halfway; a gap between them stays."""
     over = Window.partitionBy(*keys).orderBy("start", "end")
     marked = windows.withColumn("_new", F.when(F.lag(label).over(over).eqNullSafe(F.col(label)) & F.lag("start").over(over).isNotNull(), 0).otherwise(1))
     marked = marked.withColumn("run", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     marked = marked.withColumn("_before", F.lag("end").over(over)).withColumn("_after", F.lead("start").over(over))
+    first, last = F.struct("start", "end"), F.struct("start", "end")
     runs = marked.groupBy(*keys, "run").agg(
-        F.min_by(label, "start").alias(label), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.min_by("_before", "start").alias("_before"), F.max_by("_after", "start").alias("_after"), F.count(F.lit(1)).alias("n"),
+        F.min_by(label, first).alias(label), F.min_by(F.struct("start", "_before"), first).alias("f"), F.max_by(F.struct("end", "_after"), last).alias("l"),
+        F.count(F.lit(1)).alias("n"), *([F.avg(probability).alias("mean")] if probability else []),
     )
-    start = F.coalesce((F.col("start") + F.col("_before")) / 2, "start")
-    end = F.coalesce((F.col("end") + F.col("_after")) / 2, "end")
-    return runs.select(*keys, "run", label, start.alias("start"), end.alias("end"), "n")
+    start = F.greatest("f.start", (F.col("f.start") + F.col("f._before")) / 2)
+    end = F.least("l.end", (F.col("l.end") + F.col("l._after")) / 2)
+    return runs.select(*keys, "run", label, start.alias("start"), end.alias("end"), "n", *(["mean"] if probability else []))
 
 
 def target_runs(rows: DataFrame, keys: list[str], target: str, gap: float) -> DataFrame:
@@ -116,7 +118,7 @@ def viterbi(rows: DataFrame, key: str, probability: str, penalty: float) -> Data
         import numpy as np
 
         pdf = pdf.sort_values("ord")
-        p = pdf[probability].fillna(0.5).clip(1e-6, 1 - 1e-6).to_numpy()
+        p = pdf[probability].fillna(0.5).clip(1e-4, 1 - 1e-4).to_numpy()
         gain = np.stack([np.log(1 - p), np.log(p)], 1)
         back = np.zeros((len(p), 2), np.int8)
         best = gain[0].copy()
@@ -125,7 +127,7 @@ def viterbi(rows: DataFrame, key: str, probability: str, penalty: float) -> Data
             back[i] = np.where(stay >= change, [0, 1], [1, 0])
             best = np.maximum(stay, change) + gain[i]
         state = np.zeros(len(p), np.int32)
-        state[-1] = int(best[1] > best[0])
+        state[-1] = int(best[1] >= best[0])
         for i in range(len(p) - 1, 0, -1):
             state[i - 1] = back[i, state[i]]
         return pd.DataFrame({key: pdf[key], "ord": pdf["ord"], "state": state})

@@ -50,6 +50,30 @@ def phrase_matches_windowed(tokens: DataFrame, keys: list[str], phrases: dict[st
     return ahead.select(*keys, "pos", F.explode(F.array_compact(F.array(*hits))).alias("phrase"))
 
 
+def phrase_places(toks: Column, candidates: list[list[str]]) -> Column:
+    """Places in a row's token array where consecutive tokens are members of the candidate sets: no shuffle, no join."""
+    n = len(candidates)
+    starts = F.sequence(F.lit(0), F.size(toks) - n)
+    met = lambda i: reduce(lambda a, b: a & b, [F.get(toks, i + k).isin(*some) for k, some in enumerate(candidates)])
+    there = reduce(lambda a, b: a & b, [F.arrays_overlap(toks, F.array(*map(F.lit, some))) for some in candidates])
+    return F.when(there & (F.size(toks) >= n), F.filter(starts, met)).otherwise(F.array().cast("array<int>"))
+
+
+def phrase_hits(rows: DataFrame, keys: list[str], candidates: list[list[str]], text: str = "text") -> DataFrame:
+    """keys, pos, surface of a phrase in all rows, matched inside the rows."""
+    listed = rows.select(*keys, X.normalized_tokens(F.col(text)).alias("toks"))
+    found = listed.select(*keys, "toks", F.explode(phrase_places(F.col("toks"), candidates)).alias("pos"))
+    return found.select(*keys, "pos", F.array_join(F.slice("toks", F.col("pos") + 1, len(candidates)), " ").alias("surface"))
+
+
+def phrase_batch_hits(rows: DataFrame, keys: list[str], phrases: dict[str, list[str]], text: str = "text") -> DataFrame:
+    """keys, pos, phrase of many phrases, matched inside the rows in one pass."""
+    listed = rows.select(*keys, X.normalized_tokens(F.col(text)).alias("toks"))
+    every = F.array(*[F.struct(F.lit(name).alias("phrase"), phrase_places(F.col("toks"), [[w] for w in words]).alias("at")) for name, words in phrases.items()])
+    found = listed.select(*keys, F.explode(F.filter(every, lambda h: F.size(h["at"]) > 0)).alias("h"))
+    return found.select(*keys, F.explode("h.at").alias("pos"), F.col("h.phrase").alias("phrase"))
+
+
 def containing_all(tokens: DataFrame, keys: list[str], words: list[str]) -> DataFrame:
     """Keys that have every word (relational division by counting)."""
     some = tokens.where(F.col("tok").isin(*words))
@@ -64,22 +88,25 @@ def ngrams(tokens_array: Column, n: int) -> Column:
 
 
 def ngram_stats(rows: DataFrame, language: str, video: str, max_n: int = 3) -> DataFrame:
-    """language, normalized, n, surface, total_count, video_count. The places are kept as pairs of arrays, so that a
-    gram and its least surface form come out of one aggregation."""
-    both = rows.select(language, video, X.tokens(F.col("text")).alias("surf")).withColumn(
-        "norm", F.transform("surf", lambda t: X.normalize_token(t))
+    """language, normalized, n, surface, total_count, video_count. All lengths come out of one pass over a text; a gram is
+    counted by video first, so that its videos are rows and need no distinct count."""
+    both = rows.select(F.col(language).alias("language"), F.col(video).alias("video"), X.tokens(F.col("text")).alias("surf"))
+    both = both.withColumn("norm", F.transform("surf", lambda t: X.normalize_token(t)))
+    listed = both.select(
+        "language", "video", *[F.arrays_zip(ngrams(F.col("norm"), n).alias("normalized"), ngrams(F.col("surf"), n).alias("surface")).alias(f"g{n}") for n in range(1, max_n + 1)]
     )
-    out = []
-    for n in range(1, max_n + 1):
-        pairs = F.arrays_zip(ngrams(F.col("norm"), n).alias("normalized"), ngrams(F.col("surf"), n).alias("surface"))
-        grams = both.select(F.col(language).alias("language"), F.col(video).alias("video"), F.explode(pairs).alias("g"))
-        out.append(grams.select("language", "video", "g.normalized", F.lit(n).alias("n"), "g.surface"))
-    every = reduce(DataFrame.unionByName, out)
-    return every.groupBy("language", "normalized", "n").agg(
-        F.min("surface").alias("surface"), F.count(F.lit(1)).alias("total_count"), F.count_distinct("video").alias("video_count")
+    tagged = [_tagged(n) for n in range(1, max_n + 1)]
+    grams = listed.select("language", "video", F.explode(F.concat(*tagged)).alias("g")).select("language", "video", "g.*")
+    by_video = grams.groupBy("language", "normalized", "n", "video").agg(F.count(F.lit(1)).alias("count"), F.min("surface").alias("surface"))
+    return by_video.groupBy("language", "normalized", "n").agg(
+        F.min("surface").alias("surface"), F.sum("count").alias("total_count"), F.count(F.lit(1)).alias("video_count")
     )
 
 
+def _tagged(n: int) -> Column:
+    return F.transform(f"g{n}", lambda g: F.struct(g["normalized"].alias("normalized"), F.lit(n).alias("n"), g["surface"].alias("surface")))
+
+
 def distinct_span_count(token_count: Column, max_n: int) -> Column:
     """Spans of one to max_n tokens in a segment without holes."""
     return sum((F.greatest(F.lit(0), token_count - n + 1) for n in range(1, max_n + 1)), F.lit(0))

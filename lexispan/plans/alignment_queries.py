@@ -125,8 +125,7 @@ h AS (SELECT w.q, x.doc_id, x.seg, x.pos FROM w JOIN tok x ON x.tok = w.a JOIN t
 SELECT q AS query, count(*) AS hits, count(DISTINCT doc_id) AS n_docs, count(DISTINCT (doc_id, seg)) AS n_segments FROM h GROUP BY q""")
 def retrieval_metrics(spark, d):
     """Hits, documents and segments of several queries at once."""
-    stream = K.stream(K.segments(table(spark, d, "documents")), ["doc_id", "seg"])
-    hits = K.phrase_matches_windowed(stream, ["doc_id", "seg"], {q: q.split() for q in ("of the", "and the", "in this", "de la")})
+    hits = K.phrase_batch_hits(K.segments(table(spark, d, "documents")), ["doc_id", "seg"], {q: q.split() for q in ("of the", "and the", "in this", "de la")})
     return hits.groupBy(F.col("phrase").alias("query")).agg(
         F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("doc_id", "seg").alias("n_segments")
     )

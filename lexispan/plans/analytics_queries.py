@@ -83,12 +83,14 @@ _SQL_RUNS = f"""{SQL_TIMED}, marked AS (SELECT *, event_type IN ('view', 'click'
 r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM marked)"""
 
 
-@query(f"""WITH {_SQL_RUNS}, g AS (SELECT user_id, run, min_by(r.label, r.start) AS label, min(r.start) AS s, max(r."end") AS e, arg_min_null(r.before, r.start) AS b, arg_max_null(r.after, r.start) AS a, count(*) AS n FROM r GROUP BY user_id, run)
-SELECT user_id, run, label, n, cast(floor(coalesce((s + b) / 2, s) * 1000 + 0.5) AS bigint) AS start, cast(floor(coalesce((e + a) / 2, e) * 1000 + 0.5) AS bigint) AS "end" FROM g""")
+@query(f"""WITH {_SQL_RUNS}, g AS (SELECT user_id, run, arg_min(label, (start, "end")) AS label, arg_min({{'s': start, 'b': before}}, (start, "end")) AS f, arg_max({{'e': "end", 'a': after}}, (start, "end")) AS l,
+ count(*) AS n, avg(value) AS mean FROM r GROUP BY user_id, run)
+SELECT user_id, run, label, n, cast(floor(greatest(f.s, (f.s + f.b) / 2) * 1000 + 0.5) AS bigint) AS start, cast(floor(least(l.e, (l.e + l.a) / 2) * 1000 + 0.5) AS bigint) AS "end",
+ cast(floor(mean * 1000 + 0.5) AS bigint) AS mean FROM g""")
 def window_runs_midpoint(spark, d):
     rows = timed(spark, d).withColumn("label", F.col("event_type").isin("view", "click"))
-    runs = I.label_runs(rows, ["user_id"], "label")
-    return runs.select("user_id", "run", "label", "n", *_ints(runs, "start", "end"))
+    runs = I.label_runs(rows, ["user_id"], "label", "value")
+    return runs.select("user_id", "run", "label", "n", *_ints(runs, "start", "end", "mean"))
 
 
 @query(f"""WITH {SQL_TIMED}, m AS (SELECT *, event_type <> 'error' AS target, CASE WHEN event_type <> 'error' AND lag(event_type <> 'error') OVER w AND start - lag("end") OVER w <= 21600 THEN 0 ELSE 1 END AS opens
@@ -272,10 +274,10 @@ def bootstrap_ci(spark, d):
 
 
 @query("""WITH a AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM conversations), p AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM a)
-SELECT conv_id, turn, levenshtein(left(before, 120), left(text, 120)) AS errors, length(left(before, 120)) AS n_reference FROM p WHERE before IS NOT NULL""")
+SELECT conv_id, turn, levenshtein(before, text) AS errors, length(before) AS n_reference FROM p WHERE before IS NOT NULL""")
 def cer_levenshtein(spark, d):
     over = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.left(F.regexp_replace("text", "[^ -~]", ""), F.lit(120)).alias("text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("text"))
     rows = rows.withColumn("before", F.lag("text").over(over)).where("before is not null")
     return rows.select("conv_id", "turn", F.levenshtein("before", "text").alias("errors"), F.length("before").alias("n_reference"))
 

@@ -42,7 +42,7 @@ def top_terms(spark, d):
 @query(f"""WITH {SQL_STREAM} SELECT a.lang, count(*) AS hits, count(DISTINCT a.doc_id) AS n_docs FROM tok a
 JOIN tok b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.pos = a.pos + 1 WHERE a.tok = 'of' AND b.tok = 'the' GROUP BY a.lang""")
 def phrase_exact_of_the(spark, d):
-    hits = K.phrase_matches(_stream(spark, d), SEG, [["of"], ["the"]], ["lang"])
+    hits = K.phrase_hits(_segments(spark, d), [*SEG, "lang"], [["of"], ["the"]])
     return hits.groupBy("lang").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -51,7 +51,7 @@ JOIN tok b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.pos = a.pos + 1 JOIN t
 WHERE a.tok IN ('the', 'a', 'an') AND b.tok IN ('of', 'and', 'to') AND c.tok IN ('the', 'that', 'a')""")
 def phrase_set_candidates(spark, d):
     sets = [["the", "a", "an"], ["of", "and", "to"], ["the", "that", "a"]]
-    return K.phrase_matches(_stream(spark, d), SEG, sets)
+    return K.phrase_hits(_segments(spark, d), SEG, sets)
 
 
 @query(f"""WITH {SQL_STREAM}, n AS (SELECT doc_id, seg, tok AS t0, lead(tok, 1) OVER w AS t1, lead(tok, 2) OVER w AS t2 FROM tok WINDOW w AS (PARTITION BY doc_id, seg ORDER BY pos))
@@ -61,7 +61,7 @@ SELECT phrase, count(*) AS hits, count(DISTINCT doc_id) AS n_docs FROM (
  UNION ALL SELECT doc_id, 'und' FROM n WHERE t0 = 'und') GROUP BY phrase""")
 def phrase_batch_windowed(spark, d):
     phrases = {p: p.split() for p in ("of the", "and the", "de la", "the of the", "und")}
-    hits = K.phrase_matches_windowed(_stream(spark, d), SEG, phrases)
+    hits = K.phrase_batch_hits(_segments(spark, d), SEG, phrases)
     return hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -138,7 +138,7 @@ def terminal_punctuation(spark, d):
     )
 
 
-# The lemma route has no dictionary here: as a stand-in, forms with and without a final s are one lemma.
+# The lemma route has no dictionary here: as a stand-in, sets of function words are candidates for each word.
 _SQL_HITS = f"""{SQL_STREAM},
 x AS (SELECT a.doc_id, a.seg, a.pos, concat_ws(' ', a.tok, b.tok) AS surface FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.pos = a.pos + 1 WHERE a.tok = 'on' AND b.tok = 'the'),
 l AS (SELECT a.doc_id, a.seg, a.pos, concat_ws(' ', a.tok, b.tok) AS surface FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.pos = a.pos + 1 WHERE a.tok IN ('on', 'in', 'at') AND b.tok IN ('the', 'this', 'that')),
@@ -147,15 +147,20 @@ occ AS (SELECT doc_id, seg, pos, max(x) AS in_exact, max(l) AS in_lemma, min_by(
 
 
 def _occurrences(spark, d):
-    stream = _stream(spark, d)
-    exact = K.phrase_matches(stream, SEG, [["on"], ["the"]])
-    lemma = K.phrase_matches(stream, SEG, [["on", "in", "at"], ["the", "this", "that"]])
-    return S.merged(exact, lemma, [*SEG, "pos"])
+    """Both routes matched in one pass: a place of either is in the token array of its row."""
+    listed = _segments(spark, d).select(*SEG, X.normalized_tokens(F.col("text")).alias("toks"))
+    exact = K.phrase_places(F.col("toks"), [["on"], ["the"]]).alias("x")
+    lemma = K.phrase_places(F.col("toks"), [["on", "in", "at"], ["the", "this", "that"]]).alias("l")
+    places = listed.select(*SEG, "toks", exact, lemma).select(*SEG, "toks", "x", "l", F.explode(F.array_union("x", "l")).alias("pos"))
+    return places.select(
+        *SEG, "pos", F.array_contains("x", F.col("pos")).cast("int").alias("in_exact"), F.array_contains("l", F.col("pos")).cast("int").alias("in_lemma"),
+        F.array_join(F.slice("toks", F.col("pos") + 1, 2), " ").alias("surface"), F.size("toks").alias("token_count"),
+    )
 
 
 @query(f"WITH {_SQL_HITS} SELECT * FROM occ")
 def search_route_merge(spark, d):
-    return _occurrences(spark, d)
+    return _occurrences(spark, d).drop("token_count")
 
 
 @query(f"WITH {_SQL_HITS} SELECT sum(in_exact) AS exact, sum(in_lemma) AS lemma, count(*) AS auto FROM occ")
@@ -172,9 +177,8 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seg OR
 
 
 def _best(spark, d):
-    segs = _segments(spark, d).select(*SEG, F.size(X.normalized_tokens(F.col("text"))).alias("token_count"))
     long = F.when(F.col("token_count").between(5, 25), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("token_count") - 15) / 24.0))
-    hits = _occurrences(spark, d).join(segs, SEG).withColumn("quality", long)
+    hits = _occurrences(spark, d).withColumn("quality", long)
     centre = (F.col("pos") + 1) / F.greatest(F.col("token_count"), F.lit(1)).cast("double")
     raw = 0.9 * F.col("quality") + 0.04 * F.col("in_exact") + 0.03 * F.greatest(F.lit(0.0), 1 - F.abs(0.5 - centre) * 2)
     scored = hits.withColumn("score", F.least(F.lit(9900), F.floor(raw * 10000 + 0.5)))
@@ -246,10 +250,10 @@ def script_share(spark, d):
     return rows.select("doc_id", letters.alias("letters"), latin.alias("latin"), F.round(X.script_share(F.col("text")), 6).alias("share"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(left(text, 400), chr(10), ' '), '\s+', ' ', 'g'), '\s+([,.;:!?…%\])])', '\1', 'g'), '([¿¡\[(])\s+', '\1', 'g')) AS cleaned FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(10), ' '), '\s+', ' ', 'g'), '\s+([,.;:!?…%\])])', '\1', 'g'), '([¿¡\[(])\s+', '\1', 'g')) AS cleaned FROM documents""")
 def clean_spacing(spark, d):
     rows = table(spark, d, "documents")
-    return rows.select("doc_id", X.clean_spacing(F.replace(F.left("text", F.lit(400)), F.lit("\n"), F.lit(" "))).alias("cleaned"))
+    return rows.select("doc_id", X.clean_spacing(F.replace("text", F.lit("\n"), F.lit(" "))).alias("cleaned"))
 
 
 @query(f"""WITH {SQL_SEGMENTS}, u AS (SELECT doc_id, seg, text, length(text) AS chars, {sql_tokens('text')} AS toks FROM segs),

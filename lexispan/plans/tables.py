@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: SQL twins of the folding and token functions.
-SQL_FOLD = f"translate(translate(replace(lower({{0}}), 'ß', 'ss'), '{FOLD_FROM}', '{FOLD_TO}'), '’', '''')"
+SQL_FOLD = f"regexp_replace(translate(replace(lower({{0}}), 'ß', 'ss'), '{FOLD_FROM}’', '{FOLD_TO}'''), '\\p{{{{Mn}}}}+', '', 'g')"
 SQL_TOKEN = r"'[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*'"
 
 

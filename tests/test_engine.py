@@ -62,6 +62,28 @@ def test_seeded_order_repeats(engine):
     assert pages[0] == pages[1] and pages[0]
 
 
+def test_index_and_queries_fold_alike_in_all_scripts(spark, tmp_path):
+    lines = ["Tiếng Việt rất hay.", "Ёлка и йод здесь.", "Άλφα και ς.", "ﬁn du jour.", "हिन्दी भाषा है.", "cafe\u0301 noir."]
+    write(tmp_path / "raw", "w", lines)
+    own = Engine(spark, str(tmp_path / "index"))
+    own.build(str(tmp_path / "raw"), "b")
+    for query in ("việt", "ёлка", "йод", "Άλφα", "fin", "ﬁn", "हिन्दी", "café", "cafe noir"):
+        assert own.search(query, "es").totals.first()["exact"] == 1, query
+
+
+def test_accent_key_ignores_punctuation(engine):
+    assert engine.search("sí, la", "es").hits.first()["accent_exact"]
+
+
+def test_build_reads_the_track_that_a_manifest_names(spark, tmp_path):
+    write(tmp_path / "raw", "v", ["Hola amigos."])
+    write(tmp_path / "raw", "u", ["Hola de nuevo."])
+    manifests = spark.createDataFrame([("v", "t-other"), ("u", "t-u")], "video_key string, canonical_source_track_id string")
+    own = Engine(spark, str(tmp_path / "index"))
+    own.build(str(tmp_path / "raw"), "b", manifests=manifests)
+    assert [r["video_key"] for r in own.table("segments").collect()] == ["u"]
+
+
 def test_invalid_queries(engine):
     for bad in ({"query": "  "}, {"query": "a b c d e f"}, {"query": "x", "mode": "fuzzy"}, {"query": "x", "limit": 51}, {"query": "x", "order": "random"}):
         with pytest.raises(SearchError):

@@ -43,10 +43,12 @@ def test_overlap_join_equals_all_pairs(spark):
     assert I.overlap_join(left, right, "k", 7.0).count() == len(found)
 
 
-def test_label_runs_meet_halfway(spark):
-    df = spark.createDataFrame([("a", 0.0, 2.0, "x"), ("a", 1.0, 3.0, "x"), ("a", 4.0, 6.0, "y")], "k string, start double, end double, label string")
-    found = I.label_runs(df, ["k"], "label").orderBy("run").collect()
-    assert [(r["label"], r["start"], r["end"]) for r in found] == [("x", 0.0, 3.5), ("y", 3.5, 6.0)]
+def test_label_runs_split_overlaps_and_keep_gaps(spark):
+    rows = [("a", 0.0, 2.0, "x", 0.2), ("a", 1.0, 3.0, "x", 0.4), ("a", 4.0, 6.0, "y", 0.9), ("a", 5.0, 7.0, "x", 0.1)]
+    df = spark.createDataFrame(rows, "k string, start double, end double, label string, p double")
+    found = I.label_runs(df, ["k"], "label", "p").orderBy("run").collect()
+    # 3.0 to 4.0 is a gap and stays one; 4-6 and 5-7 overlap and are split at 5.5
+    assert [(r["label"], r["start"], r["end"], round(r["mean"], 6)) for r in found] == [("x", 0.0, 3.0, 0.3), ("y", 4.0, 5.5, 0.9), ("x", 5.5, 7.0, 0.1)]
 
 
 def test_viterbi_ignores_noise_and_follows_change(spark):
