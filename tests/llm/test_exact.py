@@ -143,6 +143,50 @@ def test_sharding(spark, docs, tmp_path):
     assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
 
 
+def test_sharding_equals_plain_ranking(docs):
+    """Rows of each source in the order of their draw, then all by fractional rank, cut to equal runs."""
+    draw = F.xxhash64(F.lit(sharding.SEED), F.col("doc_id").cast("long"))
+    phase = F.pmod(F.xxhash64(F.lit(sharding.SEED), F.lit("phase"), F.col("source")), F.lit(1 << 20)) / (1 << 20)
+    rows = docs.select("doc_id", "source", "text", draw.alias("draw"), phase.alias("phase")).collect()
+    low = lambda x: (x is not None, x)  # noqa: E731  nulls first
+    sized = [(r["source"], r["draw"], low(r["doc_id"]), zlib.crc32((r["text"] or "").encode()), len((r["text"] or "").encode()) + 16, r["phase"]) for r in rows]
+    placed = []
+    for source in {x[0] for x in sized}:
+        own = sorted(x[1:] for x in sized if x[0] == source)
+        placed += [((k + x[-1]) / len(own), low(source), x) for k, x in enumerate(own)]
+    order = sorted(placed)
+    want = Counter()
+    starts = [-(-shard * len(order) // 8) for shard in range(9)]
+    for k, (_, _, x) in enumerate(order):
+        shard = k * 8 // len(order)
+        want[(x[1][1], x[2], shard, k - starts[shard])] += 1
+    got = Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.interleaved_shards(docs, 8).collect())
+    assert got == want
+
+
+def test_one_row_sources_spread(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("host"), F.col("id")).alias("source"))
+    shards = sharding.interleaved_shards(rows, 8)
+    assert shards.select("source").distinct().count() == 2000 and {r["count"] for r in shards.groupBy("shard").count().collect()} == {250}
+
+
+def test_token_counts_of_text_without_blanks():
+    import random
+    import time
+
+    own = token_counts._tokenizer(P.path(token_counts.VOCABULARY))
+    draw = random.Random(6)
+    text = "".join(chr(draw.choice([*range(0x3041, 0x3096), *range(0x4E00, 0x5200)])) for _ in range(1_000_000))
+    began = time.perf_counter()
+    whole = len(own.encode(text, add_special_tokens=False).ids)
+    between = time.perf_counter()
+    assert token_counts.count_in_chunks(own, text) == whole
+    assert time.perf_counter() - between < 2 * (between - began) + 1
+    odd = "".join(draw.choice(["a", "the", "e\u0301", "'s", "!!", "'", "1", "<|endoftext|>", "🙂", "Σ", "ß", "\u00a0"]) for _ in range(4_000))
+    for chunk, overlap in ((40, 1), (100, 16), (1000, 64)):
+        assert token_counts.count_in_chunks(own, odd, chunk, overlap) == len(own.encode(odd, add_special_tokens=False).ids)
+
+
 def test_shards_match_the_mixture(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
     shards = sharding.interleaved_shards(rows, 8)
