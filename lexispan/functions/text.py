@@ -40,6 +40,8 @@ def _folds(*ranges: tuple[int, int]) -> tuple[str, str]:
 
 #: Latin, Greek and Cyrillic with their extensions, by rule.
 FOLD_FROM, FOLD_TO = _folds((0xC0, 0x52F), (0x1E00, 0x1FFF))
+#: Combining marks: translate() drops what it has no counterpart for.
+MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c) == "Mn")
 _WIDE = r"[^\x00-\x7F]"
 #: A token: letters and digits, with inner apostrophes.
 TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
@@ -50,8 +52,7 @@ TERMINAL = r"[.!?…][\])\"'»”’]*\s*$"
 def fold(text: Column) -> Column:
     """Lower case, base letters. Plain ASCII needs no translation, which is the slow part."""
     low = F.lower(text)
-    wide = F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO)
-    return F.when(low.rlike(_WIDE), F.regexp_replace(wide, r"\p{Mn}+", "")).otherwise(low)
+    return F.when(low.rlike(_WIDE), F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), FOLD_FROM + MARKS, FOLD_TO)).otherwise(low)
 
 
 @F.pandas_udf(T.StringType())
@@ -61,8 +62,8 @@ def fold_udf(text: pd.Series) -> pd.Series:
 
 def normalize_token(text: Column) -> Column:
     low = F.lower(text)
-    wide = F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), FOLD_FROM + "’", FOLD_TO + "'")
-    return F.when(low.rlike(_WIDE), F.regexp_replace(wide, r"\p{Mn}+", "")).otherwise(low)
+    wide = F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), FOLD_FROM + "’" + MARKS, FOLD_TO + "'")
+    return F.when(low.rlike(_WIDE), wide).otherwise(low)
 
 
 def accent_key_text(text: str) -> str:
