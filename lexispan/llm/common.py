@@ -47,12 +47,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return read
 
 
-def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """As ``stored``, in as many buckets of ``keys`` as shuffles have partitions: joins on these keys move the other side only."""
+def bucketed(df: DataFrame, keys: list[str], label: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """As ``stored``, in as many buckets of ``keys`` as shuffles have partitions, sorted by ``order`` if given: joins on these keys
+    move the other side only. The table is named in the session's catalog until ``dropped``; a job that dies leaves name and files there."""
     spark = df.sparkSession
     path, name = scratch(spark, label), f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    write = df.write.bucketBy(n, *keys)
+    write = write.sortBy(*order) if order else write
+    write.option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     read = spark.table(name)
     _paths[id(read)] = (read, path, name)
     return read
