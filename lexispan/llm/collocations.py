@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import KEY, bucketed, documents, dropped, stored, text_key, text_of
+from lexispan.llm.common import KEY, bucketed, documents, dropped, settings, stored, text_key, text_of
 
 LEAST = 10
 #: A phrase goes if a longer candidate that holds it has this share of its count, in percent.
@@ -56,18 +55,6 @@ _MERGE = {
 }
 
 
-@contextmanager
-def _merging(spark: SparkSession) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in _MERGE}
-    for k, v in _MERGE.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def words_of(text: str) -> list[bytes]:
     """Words in order, with a full stop for each break between pieces."""
     return text.encode().translate(_TABLE).replace(b".", b" . ").split()
@@ -197,7 +184,7 @@ def mined(docs: DataFrame, least: int, label: str) -> tuple[DataFrame, DataFrame
     """Counts of words (w, lang, word, n), of pairs (w1, w2, a) and of triples (w1, w2, w3, a); pairs and triples of ``least`` or more."""
     texts = _distinct_texts(docs, f"{label}-texts")
     seed, lexicon = _word_counts(texts, label)
-    with _merging(docs.sparkSession):
+    with settings(docs.sparkSession, _MERGE):
         r1 = _sorted_relation(texts.mapInArrow(_occurrences(seed), "t1 long, t2 long, copies long, at int, w long"), f"{label}-r1")
         dropped(texts)
         met = _adjacent(r1.withColumnRenamed("w", "w1"), r1.select(*KEY, "at", F.col("w").alias("w2")))
