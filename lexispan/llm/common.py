@@ -121,3 +121,13 @@ def by_text(rows: DataFrame, results: DataFrame) -> DataFrame:
 def sized(df: DataFrame, size_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast only if its measured size is within ``limit``."""
     return F.broadcast(df) if size_bytes <= limit else df
+
+
+def packed(rows: DataFrame, keys: list[str], size: int, members: list[str], by: str) -> DataFrame:
+    """Rows in packs of about ``size`` by ``keys``: keys, piece, members. A key of any number of rows is dealt to as many packs as it needs,
+    by the hash of ``by``."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > size)
+    counts = stored(counts.select(*keys, F.ceil(F.col("rows") / size).alias("pieces")), "packs")  # less than a row for ``size`` rows
+    dealt = rows.join(sized(counts, 40 * counts.count()), keys, "left")
+    piece = F.pmod(F.xxhash64(by), F.coalesce("pieces", F.lit(1)))
+    return dealt.withColumn("piece", piece).groupBy(*keys, "piece").agg(F.collect_list(F.struct(*members)).alias("members"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import dropped, settings, sized, stored
+from lexispan.llm.common import dropped, packed, settings, stored
 
 SHELF, BLOCK = 2048, 256
 #: Shelves and blocks that meet in one group.
@@ -55,15 +55,6 @@ def coded(vectors: DataFrame) -> DataFrame:
     return once.select(F.monotonically_increasing_id().alias("rid"), "*", length.alias("length")).withColumn("bucket", bucket)
 
 
-def _packed(rows: DataFrame, keys: list[str], size: int, members: list[str]) -> DataFrame:
-    """Rows in packs of about ``size`` by ``keys``: keys, piece, members. A key of any number of rows is dealt to as many packs as it needs."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > size)
-    counts = stored(counts.select(*keys, F.ceil(F.col("rows") / size).alias("pieces")), "packs")  # less than a row for ``size`` rows
-    dealt = rows.join(sized(counts, 40 * counts.count()), keys, "left")
-    piece = F.pmod(F.xxhash64("rid"), F.coalesce("pieces", F.lit(1)))
-    return dealt.withColumn("piece", piece).groupBy(*keys, "piece").agg(F.collect_list(F.struct(*members)).alias("members"))
-
-
 def _matrix(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Lists of codes as rows, with zeros behind shorter ones."""
     out = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
@@ -101,7 +92,7 @@ def _shelved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shelves(rows: DataFrame, label: str) -> DataFrame:
     """The index of ``rows`` (kind, bucket, rid, vec_id, label, codes), written."""
     with settings(rows.sparkSession, _FEW):
-        packs = _packed(rows, ["kind", "bucket"], SHELF, ["rid", "vec_id", "label", "codes"])
+        packs = packed(rows, ["kind", "bucket"], SHELF, ["rid", "vec_id", "label", "codes"], "rid")
         return stored(packs.mapInArrow(_shelved, _SHELF), label)
 
 
@@ -212,7 +203,7 @@ def _search(anchors: DataFrame, index: DataFrame, choose, label: str) -> DataFra
     """rid, slot, id, score, other: what ``choose`` finds for the anchors (kind, rid, vec_id, label, codes, length, least, ...) on each shelf."""
     members = [c for c in anchors.columns if c != "kind"]
     with settings(anchors.sparkSession, _FEW):
-        blocks = _packed(anchors, ["kind"], BLOCK, members)
+        blocks = packed(anchors, ["kind"], BLOCK, members, "rid")
         need = F.transform("members", lambda m: F.when((m["least"] > 0) & (m["length"] > 0), m["least"] / F.sqrt(m["length"]) * (1 - 1e-12)).otherwise(0.0))
         blocks = stored(blocks.withColumn("reach", F.array_min(need)), f"{label}-blocks")
         found = stored(_meetings(blocks, index).mapInArrow(_searched(choose), "rid long, slot long, id long, score long, other long"), f"{label}-found")
