@@ -63,6 +63,12 @@ def bucketed(df: DataFrame, keys: list[str], label: str, order: tuple[str, ...]
     return read
 
 
+def moved(table: DataFrame, view: DataFrame) -> DataFrame:
+    """``view``, which stands for the stored ``table`` from now on: dropping it deletes the table."""
+    _paths[id(view)] = (view, *_paths.pop(id(table))[1:])
+    return view
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for table in tables:

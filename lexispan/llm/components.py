@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import stored
+from lexispan.llm.common import dropped, moved, stored
 
 
 def least_labels(links: DataFrame, label: str) -> DataFrame:
@@ -21,7 +21,7 @@ def least_labels(links: DataFrame, label: str) -> DataFrame:
         f"{label}-labels",
     )
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near.withColumnRenamed("a", "node"), "node").select(
             "node", F.col("component").alias("before"), F.least("component", "near").alias("component")
         )
@@ -32,6 +32,9 @@ def least_labels(links: DataFrame, label: str) -> DataFrame:
             ),
             f"{label}-labels",
         )
-        labels = after.select("node", "component")
-        if after.where("before != component").isEmpty():
-            return labels
+        done = after.where("before != component").isEmpty()
+        dropped(labels)
+        labels = after
+        if done:
+            dropped(both)
+            return moved(labels, labels.select("node", "component"))

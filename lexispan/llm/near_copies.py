@@ -11,9 +11,18 @@ at the threshold shares one but for 7 in a million (less above it), and which a
 line or passage doesn't bring together. Every candidate is verified on the whole sets.
 
 Equal sets are one node. Within a band, members are first compared with one centre each (a
-group of near copies mostly becomes one component by that), then all pairs of a band that
-are still in different components are compared, so no pair is left out that could join
-two components.
+group of near copies mostly becomes one component by that). What is then still in different
+components of a band is compared in two ways, so that no pair is left out that could join two:
+
+* all pairs of a band of ``SMALL`` members or fewer;
+* the members of larger bands by their rarest shingles. Sets x and y, x no larger, of a similarity of 0.8 have 8/9 of x and
+  4/5 of y in common. So whatever the order of all shingles, they share one of the first ninth (and one more) of x and fifth (and one
+  more) of y. The order puts shingles that ``COMMON`` members or more have last. Pages of one template that are less than 0.8 alike differ
+  in more than a ninth, so their template isn't reached, and what stands before it fewer than ``COMMON`` have: candidates grow with
+  the members, not with their square. Common shingles are kept in a Bloom filter of fixed size; what it takes
+  wrongly for common changes the order, not the result.
+
+Sets and texts are known by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,16 +32,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import stored
+from lexispan.llm.common import dropped, stored, text_key
 from lexispan.llm.components import least_labels
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
 BANDS, DEPTH = 30, 5
+#: Members of a band of which all pairs are compared, and members of larger bands that make a shingle common.
+SMALL, COMMON = 16, 16
+#: Size of the filter of common shingles: 8 MB.
+FILTER_BITS = 1 << 26
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _FACTORS = np.random.default_rng(7).integers(0, 2**63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,8 +72,8 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64))
 
 
-def set_key(grams: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(grams.tobytes(), 7)
+def set_key(grams: np.ndarray, seed: int) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes(), seed)
 
 
 def bands(grams: np.ndarray) -> np.ndarray:
@@ -83,9 +96,8 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(x.as_py()) for x in batch["text"]]
         cells = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
         sizes = pa.array([len(s) for s in sets], pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["hash"], _signed([set_key(s) for s in sets]), sizes, cells], names=["doc_id", "hash", "key", "n", "bands"]
-        )
+        keys = [_signed([set_key(s, seed) for s in sets]) for seed in (7, 8)]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "t1", "t2")), *keys, sizes, cells], names=["doc_id", "t1", "t2", "k1", "k2", "n", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,60 +122,110 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _near_in_size(x: str, y: str) -> Column:
+    """Sets of other sizes can't be similar enough."""
+    top, bottom = SIMILAR
+    return F.least(x, y) * bottom >= F.greatest(x, y) * top
+
+
+def _common(sets: DataFrame) -> np.ndarray:
+    """The bits of a Bloom filter over the shingles of COMMON sets or more: at most FILTER_BITS / 64 rows reach the driver."""
+    size = FILTER_BITS.bit_length() - 1
+    many = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    at = many.select(F.explode(F.array(*(F.shiftrightunsigned("gram", k * size).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in range(2)))).alias("bit"))
+    slots = at.groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    out, rows = np.zeros(FILTER_BITS // 64, np.int64), slots.toArrow()
+    out[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def prefix(grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of a set that come first, as many as the larger of a pair needs, and how many of them the smaller does."""
+    size, bits, last = FILTER_BITS.bit_length() - 1, grams.view(np.uint64), np.ones(len(grams), bool)
+    for k in range(2):
+        at = (bits >> np.uint64(k * size)) & np.uint64(FILTER_BITS - 1)
+        last &= (common[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    n, (top, bottom) = len(grams), SIMILAR
+    larger, smaller = n - -(-n * top // bottom) + 1, n - -(-2 * n * top // (top + bottom)) + 1
+    return grams[np.lexsort((grams, last))][:larger], smaller
+
+
+def _prefixes(common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix(g.values.to_numpy(), common.value) for g in batch["grams"]]
+            counts = np.array([len(g) for g, _ in found], np.int64)
+            grams = np.concatenate([np.empty(0, np.int64), *(g for g, _ in found)])
+            first = np.concatenate([np.empty(0, bool), *(np.arange(len(g)) < k for g, k in found)])
+            rows = pa.array(np.repeat(np.arange(len(batch)), counts))
+            own = [batch[c].take(rows) for c in ("key", "n", "component")]
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(first), *own], names=["gram", "first", "key", "n", "component"])
+
+    return run
+
+
+def _by_prefix(crowd: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """Pairs (a, b) of different components among ``crowd`` (key, n, component) that may be similar, by their rarest shingles."""
+    own = stored(sets.join(crowd, "key"), f"{label}-crowd")
+    common = own.sparkSession.sparkContext.broadcast(_common(own))
+    rows = stored(own.mapInArrow(_prefixes(common), "gram long, first boolean, key long, n int, component long"), f"{label}-prefixes")
+    x, y = rows.where("first").alias("x"), rows.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
+    meet = (F.col("x.gram") == F.col("y.gram")) & smaller & (F.col("x.component") != F.col("y.component")) & _near_in_size("x.n", "y.n")
+    pairs = stored(_ordered(x.join(y, meet).select(F.col("x.key").alias("p"), F.col("y.key").alias("q")), "p", "q"), f"{label}-met")
+    dropped(own, rows)
+    return pairs
+
+
 def near_components(docs: DataFrame, label: str = "near-copies") -> DataFrame:
-    """doc_id, hash (of the text) and component of every row of ``docs``; columns doc_id, text."""
+    """doc_id, t1, t2 (of the text) and component of every row of ``docs``; columns doc_id, text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("hash", F.xxhash64("text"))
-    prints = stored(rows.mapInArrow(_banded, "doc_id long, hash long, key long, n int, bands array<long>"), f"{label}-prints")
-    nodes = prints.groupBy("key").agg(F.min("n").alias("n"), F.min("hash").alias("hash"), F.first("bands").alias("bands"))
-    keyed = stored(nodes.select("key", "n", "hash", F.explode("bands").alias("band")), f"{label}-bands")
+    rows = rows.select("doc_id", "text", *text_key(F.col("text")))
+    prints = stored(rows.mapInArrow(_banded, "doc_id long, t1 long, t2 long, k1 long, k2 long, n int, bands array<long>"), f"{label}-prints")
+    once = prints.groupBy("k1", "k2").agg(F.min("n").alias("n"), F.min(F.struct("t1", "t2")).alias("t"), F.first("bands").alias("bands"))
+    nodes = stored(once.select(F.monotonically_increasing_id().alias("key"), "k1", "k2", "n", "t.t1", "t.t2", "bands"), f"{label}-nodes")
+    keyed = stored(nodes.select("key", "n", F.explode("bands").alias("band")), f"{label}-bands")
     met = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("key", "n")).alias("centre")).where("members > 1")
     cells = stored(keyed.join(met, "band"), f"{label}-cells")
-    wanted = cells.select("key", "hash").distinct()
-    texts = rows.select("hash", "text").join(wanted, "hash").groupBy("key").agg(F.min("text").alias("text"))
+    wanted = nodes.select("key", "t1", "t2").join(cells.select("key").distinct(), "key")
+    texts = rows.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).groupBy("key").agg(F.min("text").alias("text"))
     sets = stored(texts.mapInArrow(_sets, "key long, grams array<long>"), f"{label}-sets")
 
-    top, bottom = SIMILAR
-    near_in_size = lambda x, y: F.least(x, y) * bottom >= F.greatest(x, y) * top  # noqa: E731  others can't be similar enough
-    stars = cells.where((F.col("key") != F.col("centre.key")) & near_in_size(F.col("n"), F.col("centre.n")))
-    links = _verified(stored(_ordered(stars, "key", "centre.key"), f"{label}-stars"), sets, label)
+    stars = cells.where((F.col("key") != F.col("centre.key")) & _near_in_size("n", "centre.n"))
+    starred = stored(_ordered(stars, "key", "centre.key"), f"{label}-stars")
+    links = _verified(starred, sets, label)
     labels = least_labels(links, label)
     # bands whose members aren't all in one component yet
-    placed = cells.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("component"))
+    placed = cells.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "members", "key", "n", F.coalesce("component", "key").alias("component"))
     placed = stored(placed, f"{label}-placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
     rest = stored(placed.join(mixed, "band", "left_semi"), f"{label}-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.key") < F.col("y.key"))
-        & (F.col("x.component") != F.col("y.component"))
-        & near_in_size(F.col("x.n"), F.col("y.n"))
-    )
+    x, y = rest.where(F.col("members") <= SMALL).alias("x"), rest.where(F.col("members") <= SMALL).alias("y")
+    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _near_in_size("x.n", "y.n")
+    few = _ordered(x.join(y, apart).select(F.col("x.key").alias("p"), F.col("y.key").alias("q")), "p", "q")
+    many = _by_prefix(rest.where(F.col("members") > SMALL).select("key", "n", "component").distinct(), sets, label)
     # what the stars have refused is known
-    pairs = _ordered(x.join(y, apart).select(F.col("x.key").alias("p"), F.col("y.key").alias("q")), "p", "q")
-    pairs = pairs.join(_ordered(stars, "key", "centre.key"), ["a", "b"], "left_anti")
-    more = _verified(stored(pairs, f"{label}-pairs"), sets, label)
-    labels = least_labels(links.unionByName(more), label)
-    return prints.join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "hash", F.coalesce("component", "key").alias("component"))
+    pairs = stored(few.union(many).distinct().join(starred, ["a", "b"], "left_anti"), f"{label}-pairs")
+    more = _verified(pairs, sets, label)
+    every = least_labels(links.unionByName(more), label)
+    component = nodes.join(every.withColumnRenamed("node", "key"), "key", "left").select("k1", "k2", F.coalesce("component", "key").alias("component"))
+    out = stored(prints.join(component, ["k1", "k2"]).select("doc_id", "t1", "t2", "component"), f"{label}-components")
+    dropped(prints, nodes, keyed, cells, sets, starred, links, labels, placed, rest, many, pairs, more, every)
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one of least id (null last), and the first by its text's hash
     of rows that share it. Documents without an id and documents that share one are apart if their texts are."""
-    rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "hash")
+    rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t1", "t2")
     keep = near_components(docs.select("doc_id", "text")).groupBy("component").agg(F.min(rank).alias("r"))
     # an id and a flag of none: equal in a join, which null ids aren't
-    keep = keep.select("r.none", F.coalesce("r.doc_id", F.lit(0)).alias("id"), "r.hash")
+    keys = ["none", "id", "t1", "t2"]
+    keep = keep.select("r.none", F.coalesce("r.doc_id", F.lit(0)).alias("id"), "r.t1", "r.t2")
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.isnull("doc_id").alias("none"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"),
-    )
-    return (
-        keyed.join(keep, ["none", "id", "hash"], "left_semi")
-        .groupBy("none", "id", "hash")
-        .agg(F.first("row").alias("row"))
-        .select(*[F.col("row")[c].alias(c) for c in docs.columns])
+        *text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))),
     )
+    return keyed.join(keep, keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
