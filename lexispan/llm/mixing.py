@@ -1,15 +1,17 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier fitted on the labelled table gives every document a posterior over domains
-(good, poor, toxic). Document rates r >= 0 then minimise
+(good, poor, toxic). Document rates r from 0 to ``most`` then minimise
 
     1/2 sum_k (sum_d r_d t_d p_dk - T_k)^2 / (T c_k)  +  ridge/2 sum_d t_d (r_d - 1)^2
 
 where t are the document's tokens, T all tokens, T_k the target of domain k and c_k its
 share before: the expected tokens of each domain meet their targets, with rates as near one
-as that allows. Projected gradient steps run on all documents: a step is one
-aggregate of K sums, and what the driver holds is those K numbers. A rate becomes whole
-copies by a seeded draw of the document's id.
+as that allows. The ridge is small enough that it moves no domain by a thousandth of its target, and keeps the answer
+bounded where a target can't be met. Each step takes the gradient of all rates at once (K sums), scales it by the
+Gram matrix of the posteriors of the documents that no bound holds (K * K sums in the same aggregate), and projects the rates to their bounds:
+at the minimum a rate is 1 - sum_k p_k l_k so projected, so what a step carries to the next are the K numbers l. Steps end when the gradient is small,
+after some ten passes over the posteriors. A rate becomes whole copies by a seeded draw of the document's id.
 
 The classifier, a logistic regression of the domains, takes all words of a document, hashed to ``BUCKETS``, and bins of
 its surface (symbols, capitals, digits, word length, repetition, length) for its features. No word is left out by a count
@@ -45,8 +47,10 @@ BINS = 32
 #: Penalty of a weight's size, and steps of the fit.
 SHRINK = 1e-3
 FIT_STEPS = 150
-STEPS = 24
-RIDGE = 0.02
+#: The gradient, as a part of each target, at which the steps end; and passes at most, halved steps included.
+PRECISION = 1e-4
+STEPS = 60
+RIDGE = 1e-6
 SEED = 42
 
 
@@ -169,15 +173,17 @@ def posteriors(docs: DataFrame, model: Model | None, keep: list[Column]) -> Data
     return powers.select(*names, "tokens", *[(F.col(f"e{k}") / whole).alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
 
 
-def _stepped(gradients: list[list[float]], ridge: float, most: float | None) -> Column:
-    """The rate after as many projected gradient steps as there are gradients, from one."""
-    size = 1 / (1 + ridge)
-    rate = F.lit(1.0)
-    for g in gradients:
-        pull = sum((F.col(f"p_{d}") * (size * g[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        rate = F.greatest(rate * (1 - size * ridge) + size * ridge - pull, F.lit(0.0))
-        rate = rate if most is None else F.least(rate, F.lit(most))
-    return rate
+def _projected(pull: list[float], most: float | None) -> Column:
+    rate = F.greatest(sum((F.col(f"p_{d}") * F.lit(-float(pull[k])) for k, d in enumerate(DOMAINS)), F.lit(1.0)), F.lit(0.0))
+    return rate if most is None else F.least(rate, F.lit(float(most)))
+
+
+def goals(share: list[float], targets: dict[str, float], spare: tuple[str, ...]) -> list[float]:
+    """Target shares of all tokens; of the spared domains at least what they have, for which the others make room in proportion."""
+    goal = [targets[d] / sum(targets.values()) for d in DOMAINS]
+    kept = {k: max(goal[k], share[k]) for k, d in enumerate(DOMAINS) if d in spare}
+    rest = sum(g for k, g in enumerate(goal) if k not in kept)
+    return [kept[k] if k in kept else g * max(0.0, 1 - sum(kept.values())) / rest if rest else 0.0 for k, g in enumerate(goal)]
 
 
 def fit_rates(
@@ -185,24 +191,32 @@ def fit_rates(
 ) -> DataFrame:
     """``members`` (tokens, p_<domain>) with a rate. The table should be stored: it is read once a step. ``most``: largest
     rate, if any. ``spare``: domains whose target is raised to their present share, so that none of them is given up."""
-    gradients: list[list[float]] = []
-    mass = [F.sum(F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]
-    before = members.agg(F.sum("tokens").alias("all"), *mass).first()
+    ks = range(len(DOMAINS))
+    p, tokens = [F.col(f"p_{d}") for d in DOMAINS], F.col("tokens")
+    before = members.agg(F.sum("tokens").alias("all"), *[F.sum(tokens * p[k]).alias(f"m{k}") for k in ks]).first()
     total = float(before["all"] or 0)
     if not total:
         return members.withColumn("rate", F.lit(1.0))
-    share = [max(before[d] / total, 1e-6) for d in DOMAINS]
-    goal = [targets[d] / sum(targets.values()) for d in DOMAINS]
-    kept = {k: max(goal[k], share[k]) for k, d in enumerate(DOMAINS) if d in spare}
-    rest = sum(g for k, g in enumerate(goal) if k not in kept)
-    goal = [kept[k] if k in kept else g * max(0.0, 1 - sum(kept.values())) / rest if rest else 0.0 for k, g in enumerate(goal)]
+    share = np.array([max(before[f"m{k}"] / total, 1e-6) for k in ks])
+    goal = np.array(goals(share.tolist(), targets, spare))
+    pull, last, error = np.zeros(len(DOMAINS)), None, np.inf
     for _ in range(steps):
-        rate = _stepped(gradients, ridge, most)
-        now = members.select("tokens", *[f"p_{d}" for d in DOMAINS], rate.alias("rate")).agg(
-            *[F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]
-        ).first()
-        gradients.append([(now[d] / total - goal[k]) / share[k] for k, d in enumerate(DOMAINS)])
-    return members.withColumn("rate", _stepped(gradients, ridge, most))
+        rate = _projected(pull.tolist(), most)
+        free = (F.col("rate") > 0) & (F.lit(True) if most is None else F.col("rate") < most)
+        now = members.select("tokens", *p, rate.alias("rate")).agg(
+            *[F.sum(F.col("rate") * tokens * p[k]).alias(f"m{k}") for k in ks],
+            *[F.sum(F.when(free, tokens * p[j] * p[k]).otherwise(0.0)).alias(f"g{j}{k}") for j in ks for k in ks if j <= k],
+        ).first()
+        gap = np.array([now[f"m{k}"] / total for k in ks]) - goal - ridge * share * pull
+        if (np.abs(gap) <= PRECISION * np.maximum(goal, 1e-3)).all():
+            break
+        if last is not None and np.linalg.norm(gap / share) > error:
+            pull = (pull + last) / 2
+            continue
+        gram = np.array([[now[f"g{min(j, k)}{max(j, k)}"] / total for k in ks] for j in ks])
+        last, error = pull, np.linalg.norm(gap / share)
+        pull = pull + np.linalg.solve(gram + ridge * np.diag(share), gap)
+    return members.withColumn("rate", _projected(pull.tolist(), most))
 
 
 def _copies(seed: int) -> Column:
