@@ -49,15 +49,17 @@ def token_problems(tokens: DataFrame, keys: list[str], text: Column) -> DataFram
 
 
 def merged_overlaps(groups: Column) -> Column:
-    """Groups (char_start, char_end, confidence), in order, that overlap made one; confidence is averaged pair by pair,
-    which depends on the order, so it is a fold over the array."""
-    empty = F.array().cast("array<struct<char_start:int,char_end:int,confidence:double>>")
+    """Groups (char_start, char_end, start, end, confidence), in order, that share characters made one: from the least start to the
+    greatest end, in text and in time. Confidence is averaged pair by pair, which depends on the order, so it is a fold over the array."""
+    fields = ("char_start", "char_end", "start", "end", "confidence")
+    empty = F.array().cast("array<struct<char_start:int,char_end:int,start:double,end:double,confidence:double>>")
 
     def step(done: Column, g: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
-        own = F.struct(*[g[c].alias(c) for c in ("char_start", "char_end", "confidence")])
+        own = F.struct(*[g[c].alias(c) for c in fields])
         joined = F.struct(
             last["char_start"].alias("char_start"), F.greatest(last["char_end"], g["char_end"]).alias("char_end"),
+            F.least(last["start"], g["start"]).alias("start"), F.greatest(last["end"], g["end"]).alias("end"),
             ((last["confidence"] + g["confidence"]) / 2).alias("confidence"),
         )
         overlaps = F.coalesce(g["char_start"] < last["char_end"], F.lit(False))
@@ -66,6 +68,29 @@ def merged_overlaps(groups: Column) -> Column:
     return F.aggregate(groups, empty, step)
 
 
+def covering_groups(text: Column, words: Column) -> Column:
+    """Timed ``words`` (disjoint, in order) and untimed groups for the text before, between and behind them: text, char_start, char_end, start, end,
+    confidence and status (matched, punctuation if a gap has no letter or digit, else unmatched)."""
+    piece = lambda lo, hi: F.substr(text, lo + 1, hi - lo)
+    nothing = F.lit(None).cast("double")
+
+    def gap(lo: Column, hi: Column) -> Column:
+        status = F.when(piece(lo, hi).rlike(r"[\p{L}\p{N}]"), "unmatched").otherwise("punctuation")
+        own = F.struct(piece(lo, hi).alias("text"), lo.alias("char_start"), hi.alias("char_end"), nothing.alias("start"), nothing.alias("end"), nothing.alias("confidence"), status.alias("status"))
+        return F.when(lo < hi, own)
+
+    def word(w: Column, i: Column) -> Column:
+        before = F.coalesce(F.when(i > 0, F.get(words, i - 1)["char_end"]), F.lit(0))
+        own = F.struct(
+            piece(w["char_start"], w["char_end"]).alias("text"), w["char_start"].alias("char_start"), w["char_end"].alias("char_end"), F.round(w["start"], 3).alias("start"),
+            F.round(w["end"], 3).alias("end"), F.round(w["confidence"], 4).alias("confidence"), F.lit("matched").alias("status"),
+        )
+        return F.array(gap(before, w["char_start"]), own)
+
+    last = F.coalesce(F.try_element_at(words, F.lit(-1))["char_end"], F.lit(0))
+    return F.array_compact(F.concat(F.flatten(F.transform(words, word)), F.array(gap(last, F.length(text)))))
+
+
 def adjacency(edges: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Each source with its sorted targets, and whether it has none. ``sources``: key, source."""
     linked = edges.groupBy(key, "source").agg(F.sort_array(F.collect_set("target")).alias("targets"))

@@ -5,9 +5,10 @@ from lexispan.operators import alignment as A
 
 
 def test_overlapping_groups_merge_pair_by_pair(spark):
-    df = spark.createDataFrame([([(0, 4, 0.8), (2, 6, 0.4), (5, 7, 0.2), (7, 9, 1.0)],), ([],)], "g array<struct<char_start:int,char_end:int,confidence:double>>")
+    rows = [([(0, 4, 1.0, 2.0, 0.8), (2, 6, 0.5, 1.5, 0.4), (5, 7, 2.0, 3.0, 0.2), (7, 9, 3.0, 4.0, 1.0)],), ([],)]
+    df = spark.createDataFrame(rows, "g array<struct<char_start:int,char_end:int,start:double,end:double,confidence:double>>")
     out = [[tuple(x) for x in r["m"]] for r in df.select(A.merged_overlaps(F.col("g")).alias("m")).collect()]
-    assert out[0] == [(0, 7, pytest.approx((0.6 + 0.2) / 2)), (7, 9, 1.0)] and out[1] == []
+    assert out[0] == [(0, 7, 0.5, 3.0, pytest.approx((0.6 + 0.2) / 2)), (7, 9, 3.0, 4.0, 1.0)] and out[1] == []
 
 
 def test_gaps_make_a_cover(spark):
