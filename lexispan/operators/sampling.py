@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispan.functions import ids
+from lexispan.sources.scratch import written
 
 
 def first_failing(rules: list[tuple[str, Column]]) -> Column:
@@ -61,3 +62,83 @@ def evenly_spaced(rows: DataFrame, keys: list[str], order: list, k: int) -> Data
     placed = rows.withColumn("_p", F.row_number().over(over.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(over))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / max(1, k - 1)).cast("long"))
     return placed.where(F.array_contains(wanted, F.col("_p").cast("long"))).drop("_p", "_n")
+
+
+def apart(rows: DataFrame, video: str, gap: float, width: float) -> DataFrame:
+    """``rows`` (order, video, start, end) with ``far``: whether the row is taken when rows are gone through by ``order`` and one is taken if it lies ``gap`` or
+    more from all taken before it in its video.
+
+    A row is settled once its rivals before it are: in each round the rows that come first in all stretches of ``width`` seconds which they touch are
+    taken, and rows near to them are refused. In a random order that takes a few rounds, each a join by stretches, so a video of any length is dealt to many tasks."""
+    stretch = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") + gap) / width))).alias("stretch")
+    left, settled = rows.select("order", video, "start", "end"), []
+    while True:
+        dealt = left.select("order", video, "start", "end", stretch)
+        first = dealt.groupBy(video, "stretch").agg(F.min("order").alias("first"))
+        taken = dealt.join(first, [video, "stretch"]).groupBy("order").agg(F.bool_and(F.col("order") == F.col("first")).alias("taken")).where("taken")
+        x, y = dealt.alias("x"), dealt.join(taken, "order").alias("y")
+        near = (F.col("x.start") < F.col("y.end") + gap) & (F.col("y.start") < F.col("x.end") + gap) & (F.col("x.order") != F.col("y.order"))
+        refused = x.join(y, (F.col(f"x.{video}") == F.col(f"y.{video}")) & (F.col("x.stretch") == F.col("y.stretch")) & near).select("x.order").distinct().withColumn("refused", F.lit(True))
+        after = written(left.join(taken, "order", "left").join(refused, "order", "left"), "spaced-sample")
+        settled.append(after.where("taken or refused").select("order", F.coalesce("taken", F.lit(False)).alias("far")))
+        left = after.where("taken is null and refused is null").drop("taken", "refused")
+        if left.isEmpty():
+            break
+    far = settled[0]
+    for more in settled[1:]:
+        far = far.union(more)
+    return rows.join(far, "order", "left")
+
+
+def _within_caps(rows: DataFrame, video: str, gap: float, cap: int, width: float) -> DataFrame:
+    """``rows`` with ``fate``: taken, neighbour or video_cap. A video's cap only ends what is taken of it, so it can be applied behind the spacing."""
+    placed = apart(rows, video, gap, width)
+    last = placed.where("far").withColumn("n", F.row_number().over(Window.partitionBy(video).orderBy("order"))).where(F.col("n") == cap).select(video, F.col("order").alias("full"))
+    capped = placed.join(last, video, "left")
+    fate = F.when(F.col("order") > F.col("full"), "video_cap").when(F.col("far"), "taken").otherwise("neighbour")
+    return capped.withColumn("fate", fate).drop("far", "full")
+
+
+def quota_sample(rows: DataFrame, strata: list[tuple], stratum: str, video: str, ident: str, seed: str, cap: int, gap: float, width: float = 60.0) -> DataFrame:
+    """``rows`` (ident, video, stratum, start, end) with ``order`` and ``fate``: what a pass in seeded order does with each. A row is passed over (quota) once its stratum has
+    what it asks for, then refused if its video has ``cap`` rows, then if it lies nearer than ``gap`` to a row taken before. ``strata``: (stratum, requested).
+
+    The pass depends on all before it, but a quota only cuts a stratum off at one place. With these places known the videos don't
+    depend on each other. Places that the pass without quotas gives are tried; they are right if the pass with them gives the same ones. If not, the
+    earliest of them is right, for nothing before it was cut off, and is kept."""
+    requested = dict(strata)
+    drawn = written(rows.withColumn("order", F.concat(ids.hash_order(seed, F.col(ident)), F.lit(" "), F.col(ident).cast("string"))), "sample-rows")
+    known = F.create_map(*(F.lit(x) for pair in requested.items() for x in pair))
+
+    def passed(places: dict) -> tuple[DataFrame, dict]:
+        cut = F.try_element_at(F.create_map(*(F.lit(x) for pair in places.items() for x in pair)), F.col(stratum)) if places else F.lit(None)
+        pool = drawn.withColumn("cut", cut.cast("string"))
+        open_ = pool.where("cut is null or order <= cut").drop("cut")
+        fates = written(_within_caps(open_, video, gap, cap, width).unionByName(pool.where("order > cut").drop("cut").withColumn("fate", F.lit("quota"))), "sample-fates")
+        taken = fates.where("fate = 'taken'").withColumn("n", F.row_number().over(Window.partitionBy(stratum).orderBy("order"))).where(F.col("n") == known[F.col(stratum)])
+        return fates, {r[stratum]: r["order"] for r in taken.select(stratum, "order").collect()}  # one for each stratum at most
+
+    sure: dict = {}
+    while True:
+        fates, found = passed(sure)
+        if found == sure:
+            return fates
+        tried, again = passed(found)
+        if again == found:
+            return tried
+        earliest = min((k for k in found if k not in sure), key=found.get, default=None)
+        sure = {**{k: found[k] for k in sure if k in found}, **({earliest: found[earliest]} if earliest is not None else {})}
+
+
+def sample_report(fates: DataFrame, strata: list[tuple], stratum: str, video: str) -> DataFrame:
+    """A row for each stratum: requested, eligible rows and videos, selected rows and videos, missing; and how many rows were refused and why."""
+    found = fates.groupBy(stratum).agg(
+        F.count(F.lit(1)).alias("eligible"), F.count_distinct(video).alias("eligible_videos"), F.count_if(F.col("fate") == "taken").alias("selected"),
+        F.count_distinct(F.when(F.col("fate") == "taken", F.col(video))).alias("selected_videos"), F.count_if(F.col("fate") == "video_cap").alias("rejected_video_cap"),
+        F.count_if(F.col("fate") == "neighbour").alias("rejected_neighbour"), F.count_if(F.col("fate") == "quota").alias("passed_over"),
+    )
+    kind = dict(fates.dtypes)[stratum]
+    asked = fates.sparkSession.createDataFrame(strata, f"`{stratum}` {kind}, requested int")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in found.columns if c != stratum]
+    out = F.broadcast(asked).join(found, stratum, "left").select(stratum, "requested", *zero)
+    return out.withColumn("missing", F.greatest(F.col("requested") - F.col("selected"), F.lit(0)))
