@@ -24,6 +24,9 @@ HOT_SHARE = 1_000
 
 KEY = ["t1", "t2"]
 
+#: Rows of texts that a Python worker holds at once: with it, texts of a few hundred thousand characters fit, and workers stay small.
+FEW_TEXTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
+
 _paths: dict[int, tuple[DataFrame, str, str | None]] = {}
 
 

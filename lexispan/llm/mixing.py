@@ -173,8 +173,13 @@ def posteriors(docs: DataFrame, model: Model | None, keep: list[Column]) -> Data
     return powers.select(*names, "tokens", *[(F.col(f"e{k}") / whole).alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
 
 
-def _projected(pull: list[float], most: float | None) -> Column:
-    rate = F.greatest(sum((F.col(f"p_{d}") * F.lit(-float(pull[k])) for k, d in enumerate(DOMAINS)), F.lit(1.0)), F.lit(0.0))
+def _least(spare: tuple[str, ...]) -> Column:
+    """Least rate: one for documents that are more likely than not of spared domains."""
+    return F.when(sum((F.col(f"p_{d}") for d in spare), F.lit(0.0)) > 0.5, 1.0).otherwise(0.0) if spare else F.lit(0.0)
+
+
+def _projected(pull: list[float], most: float | None, spare: tuple[str, ...]) -> Column:
+    rate = F.greatest(sum((F.col(f"p_{d}") * F.lit(-float(pull[k])) for k, d in enumerate(DOMAINS)), F.lit(1.0)), _least(spare))
     return rate if most is None else F.least(rate, F.lit(float(most)))
 
 
@@ -190,7 +195,8 @@ def fit_rates(
     members: DataFrame, targets: dict[str, float], steps: int = STEPS, ridge: float = RIDGE, most: float | None = None, spare: tuple[str, ...] = ()
 ) -> DataFrame:
     """``members`` (tokens, p_<domain>) with a rate. The table should be stored: it is read once a step. ``most``: largest
-    rate, if any. ``spare``: domains whose target is raised to their present share, so that none of them is given up."""
+    rate, if any. ``spare``: domains of which nothing is given up: their target is raised to their present share, and a document that is
+    more likely than not of them has a rate of one at least."""
     ks = range(len(DOMAINS))
     p, tokens = [F.col(f"p_{d}") for d in DOMAINS], F.col("tokens")
     before = members.agg(F.sum("tokens").alias("all"), *[F.sum(tokens * p[k]).alias(f"m{k}") for k in ks]).first()
@@ -201,8 +207,8 @@ def fit_rates(
     goal = np.array(goals(share.tolist(), targets, spare))
     pull, last, error = np.zeros(len(DOMAINS)), None, np.inf
     for _ in range(steps):
-        rate = _projected(pull.tolist(), most)
-        free = (F.col("rate") > 0) & (F.lit(True) if most is None else F.col("rate") < most)
+        rate = _projected(pull.tolist(), most, spare)
+        free = (F.col("rate") > _least(spare)) & (F.lit(True) if most is None else F.col("rate") < most)
         now = members.select("tokens", *p, rate.alias("rate")).agg(
             *[F.sum(F.col("rate") * tokens * p[k]).alias(f"m{k}") for k in ks],
             *[F.sum(F.when(free, tokens * p[j] * p[k]).otherwise(0.0)).alias(f"g{j}{k}") for j in ks for k in ks if j <= k],
@@ -216,7 +222,7 @@ def fit_rates(
         gram = np.array([[now[f"g{min(j, k)}{max(j, k)}"] / total for k in ks] for j in ks])
         last, error = pull, np.linalg.norm(gap / share)
         pull = pull + np.linalg.solve(gram + ridge * np.diag(share), gap)
-    return members.withColumn("rate", _projected(pull.tolist(), most))
+    return members.withColumn("rate", _projected(pull.tolist(), most, spare))
 
 
 def _copies(seed: int) -> Column:
@@ -234,13 +240,13 @@ def mixing_rates(
     return rated.withColumn("copies", _copies(SEED))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE, most: float | None = None, spare: tuple[str, ...] = ()) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE, most: float | None = None, spare: tuple[str, ...] = (), ridge: float = RIDGE) -> DataFrame:
     """``docs`` with every row repeated or left out as its rate says."""
     model = fitted(docs, labels, sample)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     own = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = stored(posteriors(own, model, [F.col("row"), F.col("doc_id")]), "mixing-members")
-    rated = fit_rates(members, targets or TARGETS, most=most, spare=spare).withColumn("copies", _copies(SEED)).where("copies > 0")
+    rated = fit_rates(members, targets or TARGETS, ridge=ridge, most=most, spare=spare).withColumn("copies", _copies(SEED)).where("copies > 0")
     repeated = rated.select("row", F.explode(F.sequence(F.lit(1), "copies")))
     return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import dropped, stored, text_key
+from lexispan.llm.common import FEW_TEXTS, dropped, settings, stored, text_key
 from lexispan.llm.components import least_labels
 
 SHINGLE = 5
@@ -179,6 +179,11 @@ def _by_prefix(crowd: DataFrame, sets: DataFrame, label: str) -> DataFrame:
 
 def near_components(docs: DataFrame, label: str = "near-copies") -> DataFrame:
     """doc_id, t1, t2 (of the text) and component of every row of ``docs``; columns doc_id, text."""
+    with settings(docs.sparkSession, FEW_TEXTS):
+        return _components(docs, label)
+
+
+def _components(docs: DataFrame, label: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *text_key(F.col("text")))
     prints = stored(rows.mapInArrow(_banded, "doc_id long, t1 long, t2 long, k1 long, k2 long, n int, bands array<long>"), f"{label}-prints")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import KEY, distinct_texts, dropped, sized, stored
+from lexispan.llm.common import FEW_TEXTS, KEY, distinct_texts, dropped, settings, sized, stored
 
 SEED_SCHEMA = "t1 long, t2 long, lo array<int>, hi array<int>, anchor array<int>, seed array<long>"
 UNIT_SCHEMA = "a1 long, a2 long, u1 long, u2 long, t1 long, t2 long, lo int, hi int, anchor int"
@@ -308,9 +308,10 @@ def covered(lows: list[int] | None, highs: list[int] | None, length: int) -> lis
 
 def by_repeats(docs: DataFrame, layout: Layout, label: str, result: Callable, schema: str) -> DataFrame:
     """What ``result`` (Arrow batches to batches) makes of t1, t2, copies, text, lows, highs of every distinct text, stored."""
-    texts = distinct_texts(docs, f"{label}-texts")
-    starts = repeated_windows(texts, layout, label)
-    found = stored(texts.join(starts, KEY, "left").mapInArrow(result, schema), f"{label}-results")
+    with settings(docs.sparkSession, FEW_TEXTS):
+        texts = distinct_texts(docs, f"{label}-texts")
+        starts = repeated_windows(texts, layout, label)
+        found = stored(texts.join(starts, KEY, "left").mapInArrow(result, schema), f"{label}-results")
     dropped(texts, starts)
     return found
 
