@@ -11,13 +11,13 @@ from lexispan.llm import chroma, cotraining, mixing
 DOMAINS = mixing.DOMAINS
 
 
-def solved(tokens, p, goal, most=np.inf):
+def solved(tokens, p, goal, most=np.inf, least=0.0, ridge=mixing.RIDGE):
     """The same minimum by plain projected gradient steps on all rates, very many of them."""
     total, share = tokens.sum(), (tokens[:, None] * p).sum(0) / tokens.sum()
     rate = np.ones(len(tokens))
     for _ in range(60_000):
         g = ((rate * tokens) @ p / total - goal) / share
-        rate = np.clip(rate - (p @ g + mixing.RIDGE * (rate - 1)), 0, most)
+        rate = np.clip(rate - (p @ g + ridge * (rate - 1)), least, most)
     return rate
 
 
@@ -66,11 +66,18 @@ def plain_features(text):
     return len(words), {signed(w) % mixing.BUCKETS for w in distinct} | bins
 
 
+def plain_copies(doc_id, tokens, rate):
+    import xxhash
+
+    chain = 42
+    for value, size in ((mixing.SEED, 4), (doc_id, 8), (tokens, 8)):
+        chain = xxhash.xxh64_intdigest(value.to_bytes(size, "little"), chain)
+    return int(rate) + ((chain % 2**30) / 2**30 < rate - int(rate))
+
+
 def test_posteriors_and_copies_equal_plain_ones(spark):
     import random
 
-    import xxhash
-
     draw = random.Random(8)
     vocabulary = [f"word{k}" for k in range(200)] + ["Loud!", "##", "100%", "x,"]
     texts = [" ".join(draw.choice(vocabulary) for _ in range(draw.randint(0, 60))) for _ in range(120)] + ["", " \n"]
@@ -86,11 +93,7 @@ def test_posteriors_and_copies_equal_plain_ones(spark):
         want = np.exp(scores - scores.max())
         assert r["tokens"] == n
         assert np.abs(np.array([r[f"p_{d}"] for d in DOMAINS]) - want / want.sum()).max() < 1e-9
-        chain = 42
-        for value, size in ((mixing.SEED, 4), (r["doc_id"], 8), (n, 8)):
-            chain = xxhash.xxh64_intdigest(value.to_bytes(size, "little"), chain)
-        draw_of = (chain % 2**30) / 2**30
-        assert r["copies"] == int(r["rate"]) + (draw_of < r["rate"] - int(r["rate"]))
+        assert r["copies"] == plain_copies(r["doc_id"], n, r["rate"])
 
 
 def test_mixing_of_odd_rows(docs, labels, empty):
@@ -327,12 +330,14 @@ def test_clean_corpus_is_not_thinned_out(spark):
 
 def test_pipeline_equals_plain_versions(spark):
     """Every stage on all that the one before kept, against a plain version of it."""
+    import base64
     import hashlib
 
     import brute
     import corpus_pipeline
     import duckdb
     import public_tokenizers as P
+    import tiktoken
     from lexispan.llm import byte_pairs, oracle
     from lexispan.llm.common import stored
 
@@ -361,12 +366,19 @@ def test_pipeline_equals_plain_versions(spark):
     plain = {i: " ".join(w for k, w in enumerate(texts[i].split()) if k not in gone) if gone else texts[i] for i, gone in zip(first, removed)}
     assert {r["doc_id"]: r["text"] for r in rest.collect()} == plain
 
-    rates = mixing.mixing_rates(rest, labels, corpus_pipeline.TARGETS, most=corpus_pipeline.MOST, spare=corpus_pipeline.SPARED).collect()
-    copies = Counter({r["doc_id"]: r["copies"] for r in rates if r["copies"]})
-    assert Counter(r["doc_id"] for r in mixed.collect()) == copies
-
-    own = byte_pairs.coder(P.path(byte_pairs.VOCABULARY))
-    n_tokens = {i: sum(len(x) // 4 for x in own.encode(t)) for i, t in plain.items()}
+    known = mixing.posteriors(rest, mixing.fitted(rest, labels), [F.col("doc_id")]).toPandas()
+    tokens, p = known.tokens.to_numpy(), known[[f"p_{d}" for d in DOMAINS]].to_numpy()
+    goal = mixing.goals(((tokens @ p) / tokens.sum()).tolist(), corpus_pipeline.TARGETS, corpus_pipeline.SPARED)
+    spared = np.where(p[:, [DOMAINS.index(d) for d in corpus_pipeline.SPARED]].sum(1) > 0.5, 1.0, 0.0)
+    rate = solved(tokens, p, np.array(goal), corpus_pipeline.MOST, spared, corpus_pipeline.EVEN)
+    copies = Counter({i: plain_copies(i, int(n), r) for i, n, r in zip(known.doc_id.tolist(), tokens, rate)})
+    got = Counter(r["doc_id"] for r in mixed.collect())
+    assert sum(abs(got[i] - copies[i]) for i in plain) <= 1  # a draw may fall between two rates that differ by rounding
+    assert all(got[i] for i, s in zip(known.doc_id.tolist(), spared) if s)
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(byte_pairs.VOCABULARY), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    n_tokens = {i: len(library.encode_ordinary(t)) for i, t in plain.items()}
     want = Counter((r["doc_id"], n_tokens[r["doc_id"]], hashlib.sha256(plain[r["doc_id"]].encode()).hexdigest()) for r in mixed.collect())
     assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in coded.collect()) == want
 
