@@ -23,6 +23,45 @@ def test_edit_counts(reference, hypothesis, counts):
     assert sum(c["ref_end"] - c["ref_start"] for c in e["chunks"]) == len(reference.split())
 
 
+def test_edits_equal_a_plain_matrix():
+    """Counts, chunks that cover both sides, and the order of preference, over random texts of few words."""
+    import random
+
+    draw = random.Random(5)
+    for _ in range(300):
+        a, b = ([draw.choice("abc") for _ in range(draw.randint(0, 12))] for _ in range(2))
+        cost = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                cost[i][j] = max(i, j) if not i or not j else min(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+        e = R.edit_script(a, b)
+        assert e["substituted"] + e["deleted"] + e["inserted"] == cost[-1][-1]
+        i = j = 0
+        for k, c in enumerate(e["chunks"]):
+            assert (c["ref_start"], c["hyp_start"]) == (i, j) and (not k or c["op"] != e["chunks"][k - 1]["op"])
+            i, j = c["ref_end"], c["hyp_end"]
+            same = a[c["ref_start"] : i] == b[c["hyp_start"] : j]
+            assert same if c["op"] == "equal" else not same
+        assert (i, j) == (len(a), len(b))
+
+
+def test_order_of_preference():
+    ops = lambda a, b: [(c["op"], c["ref_end"], c["hyp_end"]) for c in R.edit_script(a.split(), b.split())["chunks"]]
+    assert ops("a b", "b") == [("delete", 1, 0), ("equal", 2, 1)]
+    assert ops("a a", "a") == [("delete", 1, 0), ("equal", 2, 1)]
+    assert ops("x y", "z") == [("delete", 1, 0), ("substitute", 2, 1)]
+    assert ops("a", "x y") == [("insert", 0, 1), ("substitute", 1, 2)]
+    assert ops("the cat sat", "the cat sat") == [("equal", 3, 3)]
+    assert ops("", "") == []
+
+
+def test_long_edits_in_bounded_memory():
+    a = [str(k % 97) for k in range(3000)]
+    b = [w for k, w in enumerate(a) if k % 50] + ["end"]
+    e = R.edit_script(a, b)
+    assert (e["deleted"] + e["inserted"] + e["substituted"]) <= 61 and e["hits"] >= 2939
+
+
 def test_error_rates(spark):
     df = spark.createDataFrame([(0, 0, 0, 0), (0, 0, 2, 0), (1, 1, 3, 2)], "s int, d int, i int, n int")
     rates = df.select(M.error_rate(F.col("s"), F.col("d"), F.col("i"), F.col("n")).alias("r")).collect()
