@@ -13,6 +13,7 @@ from lexispan.operators import search as S
 from lexispan.operators import segmenting as G
 from lexispan.operators import tokens as K
 from lexispan.sources import captions, index_store
+from lexispan.sources.scratch import written
 
 MAX_NGRAM = 5
 
@@ -26,6 +27,8 @@ def built(tracks: DataFrame, lexicon: DataFrame | None = None, max_ngram: int =
     done = G.finished(joined, F.col("caption_kind") == "manual", F.col("duration"))
     segments = done.withColumn("segment_id", ids.segment_id(F.col("video_id"), F.col("source_language"), F.col("track_id"), F.col("start"), F.col("end"), F.col("text")))
     located = segments.select("source_language", "video_key", "segment_id", X.tokens_with_spans("text").alias("located"))
+    arrays = [F.col(f"located.{c}").alias(n) for c, n in (("tok", "norm"), ("surface", "surf"))]
+    grams = K.grams_by_video(located.select(F.col("source_language").alias("language"), F.col("video_key").alias("video"), *arrays), min(3, max_ngram))
     spans = located.select("source_language", "video_key", "segment_id", F.posexplode("located").alias("pos", "t"))
     spans = spans.select(
         "source_language", "video_key", "segment_id", "pos", F.col("t.tok").alias("tok"), "t.surface",
@@ -36,21 +39,33 @@ def built(tracks: DataFrame, lexicon: DataFrame | None = None, max_ngram: int =
     if lexicon is not None:
         known = lexicon.select(F.col("language").alias("source_language"), F.col("normalized").alias("tok"), X.usable_lemma(F.col("lemma")).alias("lemma")).where("lemma is not null")
         lemmas = spans.join(known, ["source_language", "tok"])
-        lexicon_rows = K.form_lexicon(lemmas.select("source_language", F.col("tok").alias("normalized"), "lemma", F.lit(None).cast("string").alias("upos")), "source_language")
+        lexicon_rows = K.form_lexicon(_lexicon_tokens(lemmas), "source_language")
         # positions stay those of the text: a token without a lemma leaves a hole that phrases can't cross
         streams = exact.unionByName(lemmas.select(*[F.col("lemma").alias("tok") if c == "tok" else c for c in spans.columns], F.lit("lemma").alias("kind")))
     counts = exact.groupBy("segment_id").agg(F.count(F.lit(1)).alias("token_count"))
     tables = {
         "segments": segments.drop("track", "n_tokens").join(counts, "segment_id", "left"),
         "stream_tokens": streams,
-        "ngram_stats": K.ngram_stats(segments, "source_language", "video_key", min(3, max_ngram)),
-        "span_counts": K.distinct_spans(exact.withColumn("stream", F.col("kind")), ["source_language", "segment_id"], max_ngram),
+        "ngrams_by_video": grams.withColumnRenamed("video", "video_key"),
+        "ngram_stats": K.gram_totals(grams),
+        "span_counts": K.distinct_spans(exact.withColumn("stream", F.col("kind")), ["source_language", "video_key", "segment_id"], max_ngram),
     }
     if lexicon_rows is not None:
         tables["form_lexicon"] = lexicon_rows
     return tables
 
 
+def _lexicon_tokens(lemmas: DataFrame) -> DataFrame:
+    return lemmas.select("source_language", F.col("tok").alias("normalized"), "lemma", F.lit(None).cast("string").alias("upos"))
+
+
+def _paired(tokens: DataFrame) -> DataFrame:
+    """Surfaces beside the lemmas at their place, from published streams."""
+    place = ["source_language", "segment_id", "pos"]
+    exact, lemma = tokens.where("kind = 'exact'").select(*place, "tok"), tokens.where("kind = 'lemma'").select(*place, F.col("tok").alias("lemma"))
+    return exact.join(lemma, place)
+
+
 @dataclass
 class Found:
     hits: DataFrame
@@ -71,6 +86,23 @@ class Engine:
             tracks = captions.canonical(tracks, manifests)
         return index_store.publish(built(tracks, lexicon), self.root, build)
 
+    def update(self, tracks: DataFrame, build: str, lexicon: DataFrame | None = None, removed: DataFrame | None = None) -> str:
+        """Publishes the index with the videos of ``tracks`` replaced by these tracks, and those of ``removed`` (video_key) taken out. Only the new
+        tracks are analysed: they become a part of their own, and counts move by what these videos had and have."""
+        new = {name: written(df, f"update-{name}") for name, df in built(tracks, lexicon).items() if name not in ("ngram_stats", "form_lexicon")}
+        replaced = tracks.select("video_key").distinct()
+        replaced = written(replaced if removed is None else replaced.union(removed.select("video_key")).distinct(), "update-replaced")
+        before = {name: self.table(name) for name in ("ngram_stats", "ngrams_by_video", "stream_tokens")}
+        old_grams = before["ngrams_by_video"].join(replaced, "video_key", "left_semi")
+        grams = [df.drop("video_key") for df in (old_grams, new["ngrams_by_video"])]
+        live = before["ngrams_by_video"].join(replaced, "video_key", "left_anti").unionByName(new["ngrams_by_video"])
+        tables = {**new, index_store.REPLACED: replaced, "ngram_stats": K.moved_totals(before["ngram_stats"], *grams, live)}
+        known = self._lexicon()
+        if known is not None:
+            old = _paired(before["stream_tokens"].join(replaced, "video_key", "left_semi"))
+            tables["form_lexicon"] = K.moved_lexicon(known, _lexicon_tokens(old), _lexicon_tokens(_paired(new["stream_tokens"])), "source_language")
+        return index_store.publish(tables, self.root, build, index_store.live_parts(self.spark, self.root))
+
     def table(self, name: str) -> DataFrame:
         return index_store.opened(self.spark, self.root, name)
 
@@ -83,6 +115,8 @@ class Engine:
         segments = self.table("segments").where(F.col("source_language") == language)
         if segments.isEmpty():
             raise S.SearchError(f"language {language} isn't indexed")
+        if mode == "lemma" and tokens.where("kind = 'lemma'").isEmpty():
+            raise S.SearchError(f"the index has no lemmas for {language}")
         n = len(words)
         exact = K.phrase_matches(tokens.where("kind = 'exact'"), ["segment_id"], [[w] for w in words])
         sets = self._candidates(language, words)
@@ -110,14 +144,21 @@ class Engine:
 
     def _candidates(self, language: str, words: list[str]) -> list[list[str]]:
         """Lemmas that the corpus has seen for each query word, and the word itself where it is a lemma: a lookup of a few rows."""
+        known = self._lexicon()
+        if known is None:
+            return [[] for _ in words]
+        lexicon = known.where(F.col("source_language") == language)
+        met = lexicon.where(F.col("normalized").isin(*words) | F.col("lemma").isin(*words)).select("normalized", "lemma").distinct().collect()
+        return [sorted({r["lemma"] for r in met if r["normalized"] == w or r["lemma"] == w}) for w in words]
+
+    def _lexicon(self) -> DataFrame | None:
+        """The published form lexicon, if the index was built with one."""
         try:
-            lexicon = self.table("form_lexicon").where(F.col("source_language") == language)
+            return self.table("form_lexicon")
         except Exception as error:
             if "PATH_NOT_FOUND" in str(error):
-                return [[] for _ in words]
+                return None
             raise
-        met = lexicon.where(F.col("normalized").isin(*words) | F.col("lemma").isin(*words)).select("normalized", "lemma").distinct().collect()
-        return [sorted({r["lemma"] for r in met if r["normalized"] == w or r["lemma"] == w}) for w in words]
 
     def suggestions(self, language: str, limit: int = 20) -> DataFrame:
         stats = self.table("ngram_stats").where(F.col("language") == language)

@@ -60,6 +60,12 @@ def fold_udf(text: pd.Series) -> pd.Series:
     return text.map(fold_text, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def normal_token_udf(text: pd.Series) -> pd.Series:
+    """``normal_token`` as a column, for all that the index publishes: in every script what queries look for."""
+    return text.map(normal_token, na_action="ignore")
+
+
 def normalize_token(text: Column) -> Column:
     low = F.lower(text)
     wide = F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), FOLD_FROM + "’" + MARKS, FOLD_TO + "'")
@@ -157,7 +163,8 @@ def ends_sentence(text: Column) -> Column:
 
 
 def usable_lemma(lemma: Column) -> Column:
-    return F.when(lemma.isNotNull() & ~F.trim(lemma).isin("", "_"), normalize_token(lemma))
+    """The normal form of a lemma as queries have it; null for none."""
+    return normal_token_udf(F.when(lemma.isNotNull() & ~F.trim(lemma).isin("", "_"), lemma))
 
 
 def scoring_text(text: Column) -> Column:

@@ -29,6 +29,8 @@ def validated(query: str, words: list[str], mode: str, order: str, limit: int, s
         raise SearchError(f"unknown order {order!r}")
     if order == "random" and seed is None:
         raise SearchError("random order needs a seed")
+    if order != "random" and seed is not None:
+        raise SearchError("a seed goes with random order only")
     if not 1 <= limit <= MAX_LIMIT:
         raise SearchError(f"the limit is 1 to {MAX_LIMIT}")
 

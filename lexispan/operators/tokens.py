@@ -91,18 +91,40 @@ def ngram_stats(rows: DataFrame, language: str, video: str, max_n: int = 3) -> D
     """language, normalized, n, surface, total_count, video_count. All lengths come out of one pass over a text; a gram is
     counted by video first, so that its videos are rows and need no distinct count."""
     both = rows.select(F.col(language).alias("language"), F.col(video).alias("video"), X.tokens(F.col("text")).alias("surf"))
-    both = both.withColumn("norm", F.transform("surf", lambda t: X.normalize_token(t)))
-    listed = both.select(
+    return gram_totals(grams_by_video(both.withColumn("norm", F.transform("surf", lambda t: X.normalize_token(t))), max_n))
+
+
+def grams_by_video(listed: DataFrame, max_n: int = 3) -> DataFrame:
+    """language, normalized, n, video, count, surface of texts given as arrays of normal forms and surfaces (norm, surf)."""
+    both = listed.select(
         "language", "video", *[F.arrays_zip(ngrams(F.col("norm"), n).alias("normalized"), ngrams(F.col("surf"), n).alias("surface")).alias(f"g{n}") for n in range(1, max_n + 1)]
     )
     tagged = [_tagged(n) for n in range(1, max_n + 1)]
-    grams = listed.select("language", "video", F.explode(F.concat(*tagged)).alias("g")).select("language", "video", "g.*")
-    by_video = grams.groupBy("language", "normalized", "n", "video").agg(F.count(F.lit(1)).alias("count"), F.min("surface").alias("surface"))
+    grams = both.select("language", "video", F.explode(F.concat(*tagged)).alias("g")).select("language", "video", "g.*")
+    return grams.groupBy("language", "normalized", "n", "video").agg(F.count(F.lit(1)).alias("count"), F.min("surface").alias("surface"))
+
+
+def gram_totals(by_video: DataFrame) -> DataFrame:
     return by_video.groupBy("language", "normalized", "n").agg(
         F.min("surface").alias("surface"), F.sum("count").alias("total_count"), F.count(F.lit(1)).alias("video_count")
     )
 
 
+def moved_totals(stats: DataFrame, old: DataFrame, new: DataFrame, live: DataFrame) -> DataFrame:
+    """``stats`` after the rows ``old`` of ``grams_by_video`` have given way to ``new``: counts move by signed differences, grams that nothing is left
+    of go. A gram's surface is looked up again in ``live`` (all rows as they are now) only where a row with it went."""
+    key = ["language", "normalized", "n"]
+    signed = lambda df, sign: df.select(*key, "surface", (F.col("count") * sign).alias("total_count"), F.lit(sign).cast("long").alias("video_count"))
+    moves = signed(old, -1).unionByName(signed(new, 1))
+    left = F.min(F.when(F.col("video_count") > 0, F.col("surface"))).alias("surface")
+    gone = F.min(F.when(F.col("video_count") < 0, F.col("surface"))).alias("gone")
+    marked = stats.select(*key, "surface", "total_count", "video_count").unionByName(moves)
+    summed = marked.groupBy(*key).agg(left, gone, F.sum("total_count").alias("total_count"), F.sum("video_count").alias("video_count")).where("total_count > 0")
+    open_ = summed.where(F.col("gone") <= F.col("surface"))
+    found = live.join(open_.select(*key), key).groupBy(*key).agg(F.min("surface").alias("found"))
+    return summed.join(found, key, "left").select(*key, F.coalesce("found", "surface").alias("surface"), "total_count", "video_count")
+
+
 def _tagged(n: int) -> Column:
     return F.transform(f"g{n}", lambda g: F.struct(g["normalized"].alias("normalized"), F.lit(n).alias("n"), g["surface"].alias("surface")))
 
@@ -128,6 +150,13 @@ def form_lexicon(tokens: DataFrame, language: str) -> DataFrame:
     return tokens.groupBy(language, "normalized", "lemma", "upos").agg(F.count(F.lit(1)).alias("frequency"))
 
 
+def moved_lexicon(lexicon: DataFrame, old: DataFrame, new: DataFrame, language: str) -> DataFrame:
+    """A form lexicon after the tokens ``old`` have given way to ``new``, by signed differences of frequency."""
+    key = [language, "normalized", "lemma", "upos"]
+    moves = form_lexicon(old, language).withColumn("frequency", -F.col("frequency")).unionByName(form_lexicon(new, language))
+    return lexicon.select(*key, "frequency").unionByName(moves).groupBy(*key).agg(F.sum("frequency").alias("frequency")).where("frequency > 0")
+
+
 def first_of_shared_spans(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Of neighbouring tokens with one span the first, positions counted anew."""
     over = Window.partitionBy(*keys).orderBy("pos")

@@ -4,8 +4,10 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexispan.engine import Engine
+from lexispan.functions import text as X
 from lexispan.operators.search import SearchError
 from lexispan.sources import captions, index_store
 
@@ -84,8 +86,76 @@ def test_build_reads_the_track_that_a_manifest_names(spark, tmp_path):
     assert [r["video_key"] for r in own.table("segments").collect()] == ["u"]
 
 
+TABLES = ("segments", "stream_tokens", "ngrams_by_video", "ngram_stats", "span_counts", "form_lexicon")
+
+
+def rows_of(own, name):
+    df = own.table(name)
+    return sorted(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect())
+
+
+def test_updates_equal_a_new_build(spark, tmp_path):
+    """Videos replaced, added and taken out, twice: every table is what a build of the final tracks gives."""
+    lexicon = spark.createDataFrame([("es", w, w.rstrip("s")) for w in ("casas", "casa", "bonitas", "bonita", "ideas", "idea")], "language string, normalized string, lemma string")
+    steps = [
+        {"v1": ["Sí, la verdad es una buena idea.", "LA verdad."], "v2": ["Casas bonitas.", "la verdad"], "v3": ["Una casa bonita y grande."], "v4": ["Adiós ideas."]},
+        {"v1": ["Ya no es la idea de antes.", "la verdad"], "v5": ["Casa, casa y casas."]},
+        {"v5": ["Otra idea."], "v3": ["Una CASA más grande."]},
+    ]
+    removed = [None, ["v4"], ["v2", "unknown"]]
+    own, final = Engine(spark, str(tmp_path / "index")), {}
+    for k, (step, gone) in enumerate(zip(steps, removed)):
+        final = {v: lines for v, lines in {**final, **step}.items() if v not in (gone or [])}
+        for video, lines in step.items():
+            write(tmp_path / f"raw{k}", video, lines)
+        if not k:
+            own.build(str(tmp_path / "raw0"), "b0", lexicon)
+            continue
+        tracks = captions.checked(captions.scan(spark, str(tmp_path / f"raw{k}")))
+        own.update(tracks, f"b{k}", lexicon, spark.createDataFrame([(v,) for v in gone], "video_key string"))
+        for video, lines in final.items():
+            write(tmp_path / f"whole{k}", video, lines)
+        whole = Engine(spark, str(tmp_path / f"new{k}"))
+        whole.build(str(tmp_path / f"whole{k}"), "b", lexicon)
+        for name in TABLES:
+            assert rows_of(own, name) == rows_of(whole, name), (k, name)
+    assert index_store.live_parts(spark, own.root) == ["b0", "b1", "b2"]
+    assert own.search("la verdad", "es").totals.first()["exact"] == 1
+    assert own.search("casa", "es", mode="lemma").totals.first()["lemma"] == 1
+
+
+def test_all_that_is_published_folds_alike(spark, tmp_path):
+    """Korean, Japanese and Arabic forms: every n-gram and lemma is a key of the token streams."""
+    lines = ["한국어 문장이 있다.", "ｶﾀｶﾅ と ﾊﾝｶｸ です。", "ﻻ إله العربيةُ.", "ﬁn Ｗｉｄｅ １２."]
+    write(tmp_path / "raw", "w", lines)
+    lexicon = spark.createDataFrame([("es", X.normal_token("한국어"), "한국"), ("es", X.normal_token("ﬁn"), "ﬁ")], "language string, normalized string, lemma string")
+    own = Engine(spark, str(tmp_path / "index"))
+    own.build(str(tmp_path / "raw"), "b", lexicon)
+    streams = {(r["kind"], r["tok"]) for r in own.table("stream_tokens").collect()}
+    exact = {t for k, t in streams if k == "exact"}
+    grams = {r["normalized"] for r in own.table("ngram_stats").where("n = 1").collect()}
+    assert grams == exact and len(exact) >= 11
+    assert {X.normal_token("한국"), "fi"} <= {t for k, t in streams if k == "lemma"}
+    assert own.search("한국", "es", mode="lemma").totals.first()["lemma"] == 1
+    for word in ("문장이", "カタカナ", "です", "لا", "العربية", "fin", "wide 12"):
+        assert own.search(word, "es").totals.first()["exact"] == 1, word
+    for code, words in X.FUNCTION_WORDS.items():
+        assert {X.normal_token(w) for w in words.split()} == set(X.STOPWORDS[code])
+    hangul = X.normal_token("은")
+    assert spark.range(1).select(X.is_stopword(F.lit("ko"), X.normal_token_udf(F.lit("은"))).alias("x")).first()["x"] and len(hangul) > 1
+
+
+def test_lemma_mode_needs_lemmas(spark, tmp_path):
+    write(tmp_path / "raw", "w", ["Hola amigos."])
+    own = Engine(spark, str(tmp_path / "index"))
+    own.build(str(tmp_path / "raw"), "b")
+    assert own.search("hola", "es").totals.first()["auto"] == 1
+    with pytest.raises(SearchError, match="lemmas"):
+        own.search("hola", "es", mode="lemma")
+
+
 def test_invalid_queries(engine):
-    for bad in ({"query": "  "}, {"query": "a b c d e f"}, {"query": "x", "mode": "fuzzy"}, {"query": "x", "limit": 51}, {"query": "x", "order": "random"}):
+    for bad in ({"query": "  "}, {"query": "x", "seed": "5"}, {"query": "a b c d e f"}, {"query": "x", "mode": "fuzzy"}, {"query": "x", "limit": 51}, {"query": "x", "order": "random"}):
         with pytest.raises(SearchError):
             engine.search(language="es", **bad)
     with pytest.raises(SearchError):
