@@ -26,9 +26,12 @@ def _stream(spark, d):
 
 @query(f"""WITH {SQL_STREAM} SELECT lang, count(*) AS n_tokens, count(DISTINCT tok) AS n_types, count(DISTINCT doc_id) AS n_docs FROM tok GROUP BY lang""")
 def token_counts_by_lang(spark, d):
-    return _stream(spark, d).groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("tok").alias("n_types"), F.count_distinct("doc_id").alias("n_docs")
-    )
+    """From the published index: single words of its statistics, and documents with tokens."""
+    from lexispan.plans.index_queries import opened
+
+    words = opened(spark, d, "ngram_stats").where("n = 1").groupBy(F.col("language").alias("lang")).agg(F.sum("total_count").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"))
+    docs = opened(spark, d, "segments").where("token_count > 0").select(F.col("source_language").alias("lang"), "video_key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    return words.join(docs, "lang")
 
 
 @query(f"""WITH {SQL_STREAM}, c AS (SELECT lang, tok, count(*) AS n FROM tok GROUP BY lang, tok)
@@ -42,8 +45,11 @@ def top_terms(spark, d):
 @query(f"""WITH {SQL_STREAM} SELECT a.lang, count(*) AS hits, count(DISTINCT a.doc_id) AS n_docs FROM tok a
 JOIN tok b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.pos = a.pos + 1 WHERE a.tok = 'of' AND b.tok = 'the' GROUP BY a.lang""")
 def phrase_exact_of_the(spark, d):
-    hits = K.phrase_hits(_segments(spark, d), [*SEG, "lang"], [["of"], ["the"]])
-    return hits.groupBy("lang").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("n_docs"))
+    """From the published index: positions of two words, joined; the filters on them reach the files."""
+    from lexispan.plans.index_queries import opened
+
+    hits = K.phrase_matches(opened(spark, d, "stream_tokens").withColumnRenamed("source_language", "lang"), ["lang", "video_key", "segment_id"], [["of"], ["the"]])
+    return hits.groupBy("lang").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("video_key").alias("n_docs"))
 
 
 @query(f"""WITH {SQL_STREAM} SELECT a.doc_id, a.seg, a.pos, concat_ws(' ', a.tok, b.tok, c.tok) AS surface FROM tok a
@@ -106,8 +112,9 @@ def ngram_stats_frequent(spark, d):
 
 @query(f"""WITH {_SQL_STATS} SELECT language, n, count(*) AS n_grams, sum(total_count) AS total, max(total_count) AS top_count, sum(video_count) AS video_pairs FROM stats GROUP BY language, n""")
 def ngram_stats_summary(spark, d):
-    stats = K.ngram_stats(_segments(spark, d), "lang", "doc_id")
-    return stats.groupBy("language", "n").agg(
+    from lexispan.plans.index_queries import opened
+
+    return opened(spark, d, "ngram_stats").groupBy("language", "n").agg(
         F.count(F.lit(1)).alias("n_grams"), F.sum("total_count").alias("total"), F.max("total_count").alias("top_count"), F.sum("video_count").alias("video_pairs")
     )
 
@@ -216,8 +223,9 @@ fine AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE 1 END AS kind FROM top WHERE len(
 num AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY video_count DESC, total_count DESC, n, normalized) AS place FROM fine)
 SELECT language, normalized, n, surface, total_count, video_count, kind FROM num ORDER BY CASE WHEN place > (CASE WHEN kind = 0 THEN 10 ELSE 10 END) THEN 1 ELSE 0 END, video_count DESC, total_count DESC, n, normalized LIMIT 20""")
 def suggestions_quota(spark, d):
-    stats = K.ngram_stats(_segments(spark, d).where("lang = 'en'"), "lang", "doc_id")
-    return S.suggestions(stats, lambda t: X.is_stopword(F.lit("en"), t), 20)
+    from lexispan.plans.index_queries import indexed_suggestions
+
+    return indexed_suggestions(spark, d, "en", 20)
 
 
 @query(rf"""WITH {SQL_SEGMENTS}, s AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*')) AS surface FROM segs),

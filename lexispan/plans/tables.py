@@ -44,11 +44,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Texts in fewer pieces than there are cores (small files of one row group) are dealt out first, for
-    their analysis is the costly part; large inputs are read as they lie, without a shuffle."""
+    """A given table. Texts that lie in one file are dealt out first, for their analysis is the costly part; larger inputs, which lie in
+    many, are read as they lie, without a shuffle."""
     read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return read.repartition(cores) if name == "documents" and read.rdd.getNumPartitions() < cores else read
+    if name != "documents":
+        return read
+    return read.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if len(read.inputFiles()) == 1 else read
 
 
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
