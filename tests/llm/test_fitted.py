@@ -1,6 +1,6 @@
 """Mixing, the classifier, audio fingerprints, the pipeline."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -259,30 +259,49 @@ def test_alignment_beyond_the_first_holder(spark):
     assert got[3]["ref_id"] == 2 and got[3]["code_offset"] == 0
 
 
-def plain_classes(rows):
-    """Classes from all pairs: landmarks in common at one offset, then bit errors."""
+def plain_links(rows):
+    """Pairs (later, earlier) of unlike recordings from all pairs: landmarks in common at one offset, then bit errors."""
     codes = {i: chroma.fingerprint(m) for i, m in rows}
     marks = {i: chroma.landmarks(c) for i, c in codes.items()}
-    root = {i: i for i in codes}
-    for i in codes:
-        for j in codes:
-            if j < i:
-                votes = Counter(a - b for a, x in chroma.keys(marks[i]) for b, y in chroma.keys(marks[j]) if x == y)
-                if not votes:
-                    if dict(rows)[i] == dict(rows)[j]:
-                        low, high = sorted((root[i], root[j]))
-                        root = {k: low if r == high else r for k, r in root.items()}
-                    continue
-                offset = max(votes, key=lambda o: (votes[o], -abs(o), o))
-                late, early = max(offset, 0), max(-offset, 0)
-                n = min(len(codes[i]) - late, len(codes[j]) - early)
-                wrong = np.bitwise_count(codes[i][late : late + n] ^ codes[j][early : early + n]).sum() / (32 * n)
-                if votes[offset] >= min(chroma.VOTES, len(marks[i])) and wrong <= chroma.MAX_ERROR:
-                    low, high = sorted((root[i], root[j]))
-                    root = {k: low if r == high else r for k, r in root.items()}
+    held, met, links = defaultdict(list), defaultdict(Counter), {}
+    for i in sorted(codes):
+        for at, key in chroma.keys(marks[i]):
+            for j, other in held[key]:
+                if i != j:
+                    met[i, j][at - other] += 1
+            held[key].append((i, at))
+    for (i, j), votes in met.items():
+        offset = max(votes, key=lambda o: (votes[o], -abs(o), o))
+        late, early = max(offset, 0), max(-offset, 0)
+        n = min(len(codes[i]) - late, len(codes[j]) - early)
+        wrong = np.bitwise_count(codes[i][late : late + n] ^ codes[j][early : early + n]).sum() / (32 * n)
+        if votes[offset] >= min(chroma.VOTES, len(marks[i])) and wrong <= chroma.MAX_ERROR:
+            links[i, j] = round(float(wrong), 6)
+    return links
+
+
+def plain_classes(rows):
+    root = {i: i for i, _ in rows}
+    first = {}
+    copies = [(i, first.setdefault(m, i)) for i, m in sorted(rows)]
+    for i, j in [*plain_links(rows), *copies]:
+        low, high = sorted((root[i], root[j]))
+        root = {k: low if r == high else r for k, r in root.items()}
     return root
 
 
+def test_links_equal_all_pairs_on_a_given_table(spark):
+    """Every link of all pairs is found, and no other, with its share of differing bits."""
+    table = "/root/testdata/sf0.01/documents.parquet"
+    media = spark.read.parquet(table).select("doc_id", F.encode("text", "UTF-8").alias("media")).groupBy("media").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "media")
+    prints = chroma.fingerprints(media).withColumn("node", F.struct("t1", "t2")).withColumnRenamed("doc_id", "least")
+    ids = prints.select("node", "least")
+    graded = chroma.alignments(prints).where(F.col("bit_error") <= chroma.MAX_ERROR)
+    named = graded.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b")
+    want = plain_links([(r["doc_id"], bytes(r["media"])) for r in media.collect()])
+    assert {(r["x"], r["y"]): r["bit_error"] for r in named.collect()} == want and want
+
+
 def test_classes_equal_plain_pairs(spark, docs, empty, tmp_path):
     texts = [(r["doc_id"], r["text"] or "") for r in docs.where("doc_id is not null and doc_id != 3").collect()]
     rows = [(i, t.encode()) for i, t in texts if not t or len(set(t)) > 3]  # a steady tone fits itself at every offset
