@@ -34,8 +34,9 @@ def clip_start(start: Column) -> Column:
 
 
 def clip_end(start: Column, end: Column, duration: Column) -> Column:
-    padded = F.least(end + PAD_AFTER, F.coalesce(duration, end + PAD_AFTER))
-    return F.greatest(padded, start + LEAST_CLIP)
+    """The padded end, within the recording if its length is known (null and 0 are not), and a tenth of a second behind the clip's start at least."""
+    padded = F.when(duration > 0, F.least(end + PAD_AFTER, duration)).otherwise(end + PAD_AFTER)
+    return F.greatest(padded, clip_start(start) + LEAST_CLIP)
 
 
 def match_score(quality: Column, accent_exact: Column, token_start: Column, n: Column, token_count: Column) -> Column:
@@ -89,13 +90,33 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top / F.when(bottom != 0, bottom)
 
 
-def closed_set_probability(distribution: Column, targets: list[str], others: list[str]) -> Column:
-    """Mass of the target codes over that of all codes considered, from an array of (code, p); null without mass."""
-    mass = lambda codes: F.aggregate(
-        F.filter(distribution, lambda e: e["code"].isin(*codes)), F.lit(0.0), lambda a, e: a + e["p"]
-    )
-    return ratio(mass(targets), mass(targets) + mass(others))
+# Language codes that stand for another.
+LANGUAGE_ALIASES = {"zh-cn": "zh", "zh-hans": "zh", "zh-tw": "zh", "yue": "zh", "cmn": "zh", "pt-br": "pt", "pt-pt": "pt"}
+
+
+def bare_language(code: Column) -> Column:
+    """The language of a detector's label: ``es: Spanish`` and ``es_MX`` are ``es``."""
+    tag = F.replace(F.lower(F.trim(F.substring_index(code, ":", 1))), F.lit("_"), F.lit("-"))
+    aliases = F.create_map(*(F.lit(x) for pair in LANGUAGE_ALIASES.items() for x in pair))
+    return F.coalesce(F.try_element_at(aliases, tag), F.substring_index(tag, "-", 1))
+
+
+def probability_of(distribution: Column, language: Column) -> Column:
+    """Mass of all labels of a language, from an array of (code, p)."""
+    own = F.filter(distribution, lambda e: bare_language(e["code"]) == bare_language(language))
+    return F.aggregate(own, F.lit(0.0), lambda a, e: a + e["p"])
+
+
+def closed_set_probability(distribution: Column, language: Column, languages: list[str]) -> Column:
+    """A language's share of the mass of the languages that the corpus can have; null without mass."""
+    known = F.array_distinct(F.array(*(bare_language(F.lit(c)) for c in languages)))
+    kept = F.filter(distribution, lambda e: F.array_contains(known, bare_language(e["code"])))
+    every = F.aggregate(kept, F.lit(0.0), lambda a, e: a + e["p"])
+    return ratio(probability_of(distribution, language), F.when(every > 0, every))
 
 
-def pairwise_probability(p: Column, q: Column) -> Column:
-    return ratio(p, p + q)
+def pairwise_probability(top: Column, p: Column, language: Column) -> Column:
+    """``p`` of a language against its strongest rival among ``top``, an array of (code, p); null without ``p`` or without mass."""
+    rivals = F.transform(F.filter(top, lambda e: bare_language(e["code"]) != bare_language(language)), lambda e: e["p"])
+    best = F.coalesce(F.array_max(rivals), F.lit(0.0))
+    return F.when(p + best > 0, p / (p + best))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexispan.functions import measures as M
 from lexispan.operators import intervals as I
+from lexispan.operators import resampling as RS
 from lexispan.operators import sampling as SA
 
 EDGE = 1e-6
@@ -58,6 +59,14 @@ def system_summary(results: DataFrame, cell: list[str], tolerances: list[float],
     return out.where("words > 0").withColumn("indicative_only", F.col("segments") < minimum)
 
 
+def system_intervals(results: DataFrame, cell: list[str], tolerance: float = 0.2, rounds: int = 1000, seed: str = "12345") -> DataFrame:
+    """For the rows of ``system_summary``, the 95 % intervals of the median error and of the share within ``tolerance``, videos resampled
+    whole; null for cells of fewer than two videos."""
+    scored = results.where(F.col("status").isNotNull() & ~F.col("status").isin("failed", "unavailable"))
+    deltas = scored.select(*cell, "video", F.explode("deltas").alias("delta"))
+    return RS.error_intervals(deltas, cell, "video", "delta", tolerance, rounds, seed)
+
+
 def engine_agreement(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = 0.2) -> DataFrame:
     """Differences of start between two systems for the same text of the same row, as one row. Of texts that the right system has
     twice in a row, the last by ``ord`` counts; each of the left's is compared."""
@@ -269,9 +278,10 @@ def with_evidence(candidates: DataFrame, evidence: DataFrame, key: str) -> DataF
 
 
 def skip_reason() -> Column:
-    """Why a video isn't taken: live_status, duration in seconds (may be null), has_captions."""
+    """Why a video isn't taken: is_live (a flag that may be null), live_status, duration in seconds (may be null), has_captions."""
+    live = F.coalesce("is_live", F.lit(False)) | F.coalesce(F.col("live_status").isin("is_live", "is_upcoming"), F.lit(False))
     return SA.first_failing(
-        [("live", F.coalesce(F.col("live_status").isin("is_live", "is_upcoming"), F.lit(False))), ("short", F.coalesce(F.col("duration") < 60, F.lit(False))), ("no captions", ~F.col("has_captions"))]
+        [("live", live), ("short", F.coalesce(F.col("duration") < 60, F.lit(False))), ("no captions", ~F.col("has_captions"))]
     )
 
 

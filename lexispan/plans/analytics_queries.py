@@ -138,7 +138,7 @@ def unit_end_estimate(spark, d):
     return out.select("event_id", F.floor((F.col("end") - F.col("start")) * 1000 + 0.5).alias("lasting"))
 
 
-@query(f"""WITH {SQL_TIMED} SELECT event_id, cast(floor(greatest(0, value - 0.35) * 1000 + 0.5) AS bigint) AS clip_start, cast(floor(greatest(least(value + value / 10 + 0.65, 400), value + 0.1) * 1000 + 0.5) AS bigint) AS clip_end FROM timed""")
+@query(f"""WITH {SQL_TIMED} SELECT event_id, cast(floor(greatest(0, value - 0.35) * 1000 + 0.5) AS bigint) AS clip_start, cast(floor(greatest(least(value + value / 10 + 0.65, 400), greatest(0, value - 0.35) + 0.1) * 1000 + 0.5) AS bigint) AS clip_end FROM timed""")
 def clip_padding(spark, d):
     rows = timed(spark, d).select("event_id", "value")
     start, end = M.clip_start(F.col("value")), M.clip_end(F.col("value"), F.col("value") + F.col("value") / 10, F.lit(400.0))
@@ -241,10 +241,9 @@ def group_summary(spark, d):
 
 @query("""SELECT lang, source, count(*) AS n, sum(n_chars) AS chars, max(n_chars) AS longest, grouping(lang) * 2 + grouping(source) AS level FROM documents GROUP BY GROUPING SETS ((), (lang), (source))""")
 def grouping_sets_breakdown(spark, d):
-    table(spark, d, "documents").select("lang", "source", "n_chars").createOrReplaceTempView("lexispan_documents")
-    return spark.sql(
-        "SELECT lang, source, count(*) AS n, sum(n_chars) AS chars, max(n_chars) AS longest, cast(grouping_id(lang, source) AS bigint) AS level "
-        "FROM lexispan_documents GROUP BY GROUPING SETS ((), (lang), (source))"
+    rows = table(spark, d, "documents").select("lang", "source", "n_chars")
+    return rows.groupingSets([[], ["lang"], ["source"]], "lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"), F.grouping_id().cast("bigint").alias("level")
     )
 
 
@@ -448,18 +447,18 @@ def status_union_counts(spark, d):
     return part("documents", "lang").unionByName(part("conversations", "role")).unionByName(part("events", "event_type"))
 
 
-_SQL_DIST = """dist AS (SELECT vec_id, label, abs(embedding[1]) AS a, abs(embedding[2]) AS b, abs(embedding[3]) AS c FROM embeddings)"""
-
-
-@query(f"""WITH {_SQL_DIST} SELECT vec_id, cast(floor(a / nullif(a + b, 0) * 10000 + 0.5) AS bigint) AS closed, cast(floor(a / nullif(a + c, 0) * 10000 + 0.5) AS bigint) AS pairwise FROM
-(SELECT vec_id, cast(a AS double) AS a, cast(b AS double) AS b, cast(c AS double) AS c FROM dist)""")
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, abs(cast(unnest(embedding) AS double)) AS p FROM embeddings),
+c AS (SELECT vec_id, CASE k % 6 WHEN 0 THEN 'es' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' WHEN 3 THEN 'es' WHEN 4 THEN 'zh' ELSE 'ca' END AS code, p FROM e)
+SELECT vec_id, cast(floor(sum(p) FILTER (WHERE code = 'es') * 10000 + 0.5) AS bigint) AS own, cast(floor(sum(p) FILTER (WHERE code = 'es') / sum(p) FILTER (WHERE code IN ('es', 'en', 'zh')) * 10000 + 0.5) AS bigint) AS closed,
+cast(floor(sum(p) FILTER (WHERE code = 'es') / (sum(p) FILTER (WHERE code = 'es') + max(p) FILTER (WHERE code <> 'es')) * 10000 + 0.5) AS bigint) AS pairwise FROM c GROUP BY vec_id""")
 def closed_set_probability(spark, d):
-    v = [F.abs(F.col("embedding")[k]).cast("double") for k in range(3)]
-    pairs = F.array(*[F.struct(F.lit(n).alias("code"), p.alias("p")) for n, p in zip(("es", "en", "fr"), v)])
-    rows = table(spark, d, "embeddings").select("vec_id", pairs.alias("dist"))
-    closed = M.closed_set_probability(F.col("dist"), ["es"], ["en"])
-    pair = M.pairwise_probability(F.col("dist")[0]["p"], F.col("dist")[2]["p"])
-    return rows.select("vec_id", F.floor(closed * 10000 + 0.5).alias("closed"), F.floor(pair * 10000 + 0.5).alias("pairwise"))
+    """Sizes of a vector's entries taken for the probabilities of six kinds of labels, two of them of one language."""
+    codes = F.array(*(F.lit(c) for c in ("es: Spanish", "en", "fr_CA", "ES-mx", "zh-Hans", "ca")))
+    labelled = F.transform("embedding", lambda x, i: F.struct(F.get(codes, i % 6).alias("code"), F.abs(x.cast("double")).alias("p")))
+    rows = table(spark, d, "embeddings").select("vec_id", labelled.alias("dist"))
+    own = M.probability_of(F.col("dist"), F.lit("es"))
+    closed, pair = M.closed_set_probability(F.col("dist"), F.lit("es"), ["es", "en", "zh-CN"]), M.pairwise_probability(F.col("dist"), own, F.lit("es"))
+    return rows.select("vec_id", *(F.floor(c * 10000 + 0.5).alias(n) for c, n in ((own, "own"), (closed, "closed"), (pair, "pairwise"))))
 
 
 @query("""SELECT user_id, cast(floor(sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) / nullif(sum(value), 0) * 1000000 + 0.5) AS bigint) AS pooled, count(*) AS n FROM events GROUP BY user_id""")

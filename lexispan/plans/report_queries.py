@@ -281,11 +281,12 @@ def evidence_join(spark, d):
     return rows.groupBy("lang", "missing").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'live' WHEN value < 60 AND event_type <> 'click' THEN 'short' WHEN value > 150 THEN 'no captions' ELSE 'eligible' END AS reason FROM events")
+@query("SELECT event_id, CASE WHEN event_type = 'error' OR event_type <> 'view' AND event_id % 11 = 0 THEN 'live' WHEN value < 60 AND event_type <> 'click' THEN 'short' WHEN value > 150 THEN 'no captions' ELSE 'eligible' END AS reason FROM events")
 def candidate_skips(spark, d):
     rows = table(spark, d, "events").select(
         "event_id",
         F.when(F.col("event_type") == "error", "is_live").alias("live_status"),
+        F.when(F.col("event_type") != "view", F.col("event_id") % 11 == 0).alias("is_live"),
         F.when(F.col("event_type") != "click", F.col("value")).alias("duration"),
         (F.col("value") <= 150).alias("has_captions"),
     )

@@ -7,7 +7,7 @@ import wave
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,29 +15,30 @@ from lexispan.schemas import WORDS, struct
 
 
 def conllu_words(block: str) -> tuple[str, list[dict]]:
-    """Text of a sentence and its words with offsets; the words of a multi-word token share the token's span."""
-    text = next((x.split("=", 1)[1].strip() for x in block.splitlines() if x.startswith("# text =")), None)
-    rows = [x.split("\t") for x in block.splitlines() if x and not x.startswith("#")]
-    surface = [r for r in rows if len(r) == 10 and "." not in r[0]]
-    ranges = {int(r[0].split("-")[0]): (int(r[0].split("-")[1]), r[1]) for r in surface if "-" in r[0]}
+    """Text of a sentence and its words with offsets; the words of a multi-word token share the token's span. Rows that haven't ten
+    columns, sentences without ``# text`` and forms that aren't in the text behind the one before are errors."""
+    lines = [x for x in block.splitlines() if x.strip()]
+    text = next((x.split("=", 1)[1].strip() for x in lines if x.startswith("# text =")), None)
+    rows = [x.split("\t") for x in lines if not x.startswith("#")]
+    wrong = next((r for r in rows if len(r) != 10), None)
+    if wrong:
+        raise ValueError(f"a CoNLL-U row has {len(wrong)} columns: {wrong[0]!r}")
     if text is None:
-        text = " ".join(r[1] for r in surface)
-    words, at, until, span = [], 0, 0, (0, 0)
-    for r in surface:
-        if "-" in r[0]:
-            continue
-        number = int(r[0])
-        if number in ranges:
-            until, form = ranges[number]
-            start = text.find(form, at)
-            span = (start, start + len(form))
-            at = span[1]
-        elif number > until:
-            start = text.find(r[1], at)
-            span = (start, start + len(r[1]))
-            at = span[1]
-        words.append({"id": r[0], "form": r[1], "lemma": r[2], "upos": r[3], "features": r[5], "start": span[0], "end": span[1], "shared_span": number <= until})
-    return text, words
+        raise ValueError("a CoNLL-U sentence has no # text")
+    spans: dict[int, tuple[int, int, bool]] = {}
+    at = 0
+    for number, form in ((r[0], r[1]) for r in rows if "." not in r[0]):
+        first, _, last = number.partition("-")
+        if int(first) in spans:
+            continue  # a word of a token that has been placed
+        start = text.find(form, at)
+        if start < 0:
+            raise ValueError(f"the CoNLL-U form {form!r} isn't in its text after character {at}")
+        at = start + len(form)
+        spans.update({k: (start, at, bool(last)) for k in range(int(first), int(last or first) + 1)})
+    words = [r for r in rows if "." not in r[0] and "-" not in r[0]]
+    named = (dict(zip(("id", "form", "lemma", "upos", "features"), (*r[:4], r[5])), **dict(zip(("start", "end", "shared_span"), spans[int(r[0])]))) for r in words)
+    return text, list(named)
 
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
@@ -51,22 +52,28 @@ def conllu(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select(parsed("value").alias("s")).select("s.*")
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """line (from 0) and ``name`` of one text file, read in as many pieces as it is split into: an id holds the piece and the place in it, and
+    the lines of the pieces before are added."""
+    read = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias(name))
+    placed = read.select(F.shiftright("id", 33).alias("piece"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), name)
+    counts = placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))  # a row for each piece of the file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(counts.select("piece", before.alias("before"))), "piece").select((F.col("before") + F.col("place")).cast("int").alias("line"), name)
+
+
 def pharaoh(spark: SparkSession, source: str, target: str, links: str) -> DataFrame:
-    """line, source and target tokens, and their links; ``i-j`` is a sure link, ``i?j`` a possible one."""
-
-    def lines(path: str, name: str) -> DataFrame:
-        # a file's lines keep their order within the reader's partitions, whose numbers are the high bits of the id
-        read = spark.read.text(path, wholetext=True)
-        return read.select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("line", name))
-
-    joined = lines(source, "s").join(lines(target, "t"), "line").join(lines(links, "a"), "line")
-    pairs = F.transform(
-        F.filter(F.split("a", " "), lambda x: x != ""),
-        lambda x: F.struct(
-            F.regexp_extract(x, r"^(\d+)", 1).cast("int").alias("source"), F.regexp_extract(x, r"(\d+)$", 1).cast("int").alias("target"), x.contains("-").alias("sure")
-        ),
-    )
-    return joined.select("line", F.split("s", " ").alias("source"), F.split("t", " ").alias("target"), pairs.alias("links"))
+    """line, source and target tokens, and their links; ``i-j`` is a sure link, ``i?j`` a possible one. Files of unequal length and links that are
+    neither are errors when the rows are read."""
+    s, t, a = (numbered_lines(spark, p, n) for p, n in ((source, "s"), (target, "t"), (links, "a")))
+    joined = s.join(t, "line", "full_outer").join(a, "line", "full_outer")
+    uneven = F.raise_error(F.concat(F.lit("the files have unequal lengths at line "), F.col("line").cast("string"))).cast("string")
+    whole = joined.withColumn("a", F.when(F.col("s").isNull() | F.col("t").isNull() | F.col("a").isNull(), uneven).otherwise(F.col("a")))
+    marks = F.filter(F.split("a", " "), lambda x: x != "")
+    wrong = lambda x: F.raise_error(F.concat(F.lit("not a link: "), x)).cast("int")
+    number = lambda x, k: F.when(x.rlike(r"^\d+[-?]\d+$"), F.element_at(F.split(x, "[-?]"), k).try_cast("int")).otherwise(wrong(x))
+    pairs = F.transform(marks, lambda x: F.struct(number(x, 1).alias("source"), number(x, 2).alias("target"), x.contains("-").alias("sure")))
+    return whole.select("line", F.split("s", " ").alias("source"), F.split("t", " ").alias("target"), pairs.alias("links"))
 
 
 def vtt_cues(text):

@@ -105,3 +105,21 @@ def test_first_and_all_failing(spark):
     rules = [("small", F.col("x") < 3), ("odd", F.col("x") % 2 == 1)]
     out = df.select(SA.first_failing(rules).alias("f"), SA.all_failing(rules).alias("a")).collect()
     assert [(r["f"], r["a"]) for r in out] == [("small", ["small", "odd"]), ("odd", ["odd"]), ("odd", ["odd"])]
+
+
+def test_language_probabilities(spark):
+    top = [("es: Spanish", 0.3), ("es_MX", 0.1), ("ca", 0.25), ("zh-Hans", 0.2), ("yue", 0.05), ("pt-BR", 0.1)]
+    df = spark.createDataFrame([(top, 0.4), ([], 0.0), (top, None)], "d array<struct<code: string, p: double>>, p double")
+    rows = df.select(
+        M.probability_of(F.col("d"), F.lit("es")).alias("own"), M.probability_of(F.col("d"), F.lit("zh")).alias("zh"),
+        M.closed_set_probability(F.col("d"), F.lit("es"), ["es", "zh-CN", "pt"]).alias("closed"), M.pairwise_probability(F.col("d"), F.col("p"), F.lit("es")).alias("pair"),
+    ).collect()
+    assert rows[0]["own"] == pytest.approx(0.4) and rows[0]["zh"] == pytest.approx(0.25)
+    assert rows[0]["closed"] == pytest.approx(0.4 / 0.75) and rows[0]["pair"] == pytest.approx(0.4 / 0.65)
+    assert (rows[1]["closed"], rows[1]["pair"], rows[2]["pair"]) == (None, None, None)
+
+
+def test_clip_limits(spark):
+    df = spark.createDataFrame([(5.0, 6.0, 0.0), (5.0, 6.0, None), (5.0, 6.0, 6.2), (5.0, 6.0, 4.0), (0.1, 0.2, 0.05)], "s double, e double, d double")
+    ends = [r[0] for r in df.select(M.clip_end(F.col("s"), F.col("e"), F.col("d"))).collect()]
+    assert ends == pytest.approx([6.65, 6.65, 6.2, 4.75, 0.1])

@@ -1,6 +1,7 @@
 import json
 import wave
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexispan.functions import text as X
@@ -25,6 +26,33 @@ def test_pharaoh_links(spark, tmp_path):
     assert rows[1]["source"] == ["c"]
 
 
+def test_bad_annotations_are_errors(spark, tmp_path):
+    row = lambda i, form: "\t".join([i, form, "x", "X", "_", "_", "_", "_", "_", "_"])
+    for block, message in ((f"# text = a b\n{row('1', 'a')}\n2\tb", "columns"), (row("1", "a"), "# text"), (f"# text = a b\n{row('1', 'b')}\n{row('2', 'a')}", "isn't in its text")):
+        with pytest.raises(ValueError, match=message):
+            annotations.conllu_words(block)
+    (tmp_path / "bad.conllu").write_text(f"# text = a\n{row('1', 'z')}\n\n")
+    with pytest.raises(Exception, match="isn't in its text"):
+        annotations.conllu(spark, str(tmp_path / "bad.conllu")).collect()
+    for name, text in (("s", "a b\nc\n"), ("t", "x\nz\n"), ("short", "0-0\n"), ("odd", "0-0\n0+0\n")):
+        (tmp_path / name).write_text(text)
+    for links, message in (("short", "unequal"), ("odd", "not a link")):
+        with pytest.raises(Exception, match=message):
+            annotations.pharaoh(spark, *(str(tmp_path / n) for n in ("s", "t", links))).collect()
+
+
+def test_lines_of_a_file_in_pieces(spark, tmp_path):
+    (tmp_path / "long").write_text("".join(f"line {k}\n" for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = annotations.numbered_lines(spark, str(tmp_path / "long"), "x")
+        assert rows.where("x = concat('line ', line)").count() == 5000
+        assert spark.read.text(str(tmp_path / "long")).select(F.spark_partition_id()).distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_vtt(spark):
     text = "WEBVTT\n\n00:01.500 --> 00:02.000\nHello <b>you</b>\nthere\n\n01:00:00.000 --> 01:00:01.000 align:start\nBye\n"
     cues = spark.createDataFrame([(text,)], "t string").select(annotations.vtt_cues(F.col("t")).alias("c")).first()["c"]
