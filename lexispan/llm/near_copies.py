@@ -15,11 +15,12 @@ group of near copies mostly becomes one component by that). What is then still i
 components of a band is compared in two ways, so that no pair is left out that could join two:
 
 * all pairs of a band of ``SMALL`` members or fewer;
-* the members of larger bands by their rarest shingles. Sets x and y, x no larger, of a similarity of 0.8 have 8/9 of x and
-  4/5 of y in common. So whatever the order of all shingles, they share one of the first ninth (and one more) of x and fifth (and one
-  more) of y. The order puts shingles that ``COMMON`` members or more have last. Pages of one template that are less than 0.8 alike differ
-  in more than a ninth, so their template isn't reached, and what stands before it fewer than ``COMMON`` have: candidates grow with
-  the members, not with their square. Common shingles are kept in a Bloom filter of fixed size; what it takes
+* the members of larger bands by how they differ from the band's centre c. D(x) are the shingles that only one of x and c has. Sets x and y are
+  similar if and only if D(x) and D(y) differ in at most a ninth of |x| + |y|, so the two have (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2 in common or more, which is
+  above zero if one of them isn't similar to c; if both are, they are in its component. Whatever the order of all shingles, they share one from which on so many are
+  left of both, and one of them among about the first half of D. The order puts those first by which few members differ from c: what ``COMMON`` members
+  or more have is common, and a common shingle is seldom lacked, a rare one seldom had. Of a template's pages and of copies that are edited too much, what
+  comes first are their own words: candidates grow with the members, not with their square. Common shingles are kept in a Bloom filter of fixed size; what it takes
   wrongly for common changes the order, not the result.
 
 Sets and texts are known by 128 bits.
@@ -139,41 +140,62 @@ def _common(sets: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def prefix(grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
-    """The shingles of a set that come first, as many as the larger of a pair needs, and how many of them the smaller does."""
-    size, bits, last = FILTER_BITS.bit_length() - 1, grams.view(np.uint64), np.ones(len(grams), bool)
+def _is_common(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
+    size, bits, out = FILTER_BITS.bit_length() - 1, grams.view(np.uint64), np.ones(len(grams), bool)
     for k in range(2):
         at = (bits >> np.uint64(k * size)) & np.uint64(FILTER_BITS - 1)
-        last &= (common[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    n, (top, bottom) = len(grams), SIMILAR
-    larger, smaller = n - -(-n * top // bottom) + 1, n - -(-2 * n * top // (top + bottom)) + 1
-    return grams[np.lexsort((grams, last))][:larger], smaller
+        out &= (common[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def difference(grams: np.ndarray, centre: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles that only one of two sets has, those first that few differ by: rare ones of its own, common ones that it lacks, common ones
+    of its own, and rare ones that it lacks, which are the centre's own."""
+    own, lacks = np.setdiff1d(grams, centre, assume_unique=True), np.setdiff1d(centre, grams, assume_unique=True)
+    every = np.concatenate([own, lacks])
+    rank = np.concatenate([np.where(_is_common(own, common), 2, 0), np.where(_is_common(lacks, common), 1, 3)])
+    return every[np.lexsort((every, rank))]
 
 
-def _prefixes(common):
+def _differences(common):
+    """Rows of each member's difference from its centre: all of members that are far from it, about the first half of others."""
+    top, bottom = SIMILAR
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [prefix(g.values.to_numpy(), common.value) for g in batch["grams"]]
-            counts = np.array([len(g) for g, _ in found], np.int64)
-            grams = np.concatenate([np.empty(0, np.int64), *(g for g, _ in found)])
-            first = np.concatenate([np.empty(0, bool), *(np.arange(len(g)) < k for g, k in found)])
-            rows = pa.array(np.repeat(np.arange(len(batch)), counts))
-            own = [batch[c].take(rows) for c in ("key", "n", "component")]
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(first), *own], names=["gram", "first", "key", "n", "component"])
+            found = [difference(x.values.to_numpy(), c.values.to_numpy(), common.value) for x, c in zip(batch["grams"], batch["centre_grams"], strict=True)]
+            size = np.array([len(d) for d in found], np.int64)
+            n, nc = batch["n"].to_numpy().astype(np.int64), np.array([len(c) for c in batch["centre_grams"]], np.int64)
+            # similar to the centre: size * (top + bottom) <= (n + nc) * (bottom - top), here 9 and 1
+            far = size * (top + bottom) > (n + nc) * (bottom - top)
+            half = (size * (top + bottom) + (n - nc) * (bottom - top)) / (2 * (top + bottom))
+            rows, place = np.repeat(np.arange(len(batch)), size), np.concatenate([np.empty(0, np.int64), *(np.arange(s) for s in size)])
+            first = place < half[rows]
+            keep = first | far[rows]
+            at = rows[keep]
+            own = [batch[c].take(pa.array(at)) for c in ("pivot", "key", "n", "component")]
+            grams = np.concatenate([np.empty(0, np.int64), *found])[keep]
+            columns = [pa.array(grams), pa.array(place[keep].astype(np.int32)), pa.array(size[at].astype(np.int32)), pa.array(first[keep]), pa.array(far[at])]
+            yield pa.RecordBatch.from_arrays([*columns, *own], names=["gram", "place", "size", "first", "far", "pivot", "key", "n", "component"])
 
     return run
 
 
-def _by_prefix(crowd: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """Pairs (a, b) of different components among ``crowd`` (key, n, component) that may be similar, by their rarest shingles."""
-    own = stored(sets.join(crowd, "key"), f"{label}-crowd")
-    common = own.sparkSession.sparkContext.broadcast(_common(own))
-    rows = stored(own.mapInArrow(_prefixes(common), "gram long, first boolean, key long, n int, component long"), f"{label}-prefixes")
-    x, y = rows.where("first").alias("x"), rows.alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
-    meet = (F.col("x.gram") == F.col("y.gram")) & smaller & (F.col("x.component") != F.col("y.component")) & _near_in_size("x.n", "y.n")
+def _by_centre(members: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """Pairs (a, b) of different components among the members (key, n, component) of a centre (pivot) that may be similar, by how they differ from it."""
+    top, bottom = SIMILAR
+    crowd = stored(sets.join(members.select("key").distinct(), "key"), f"{label}-crowd")
+    common = crowd.sparkSession.sparkContext.broadcast(_common(crowd))
+    both = members.join(sets, "key").join(sets.select(F.col("key").alias("pivot"), F.col("grams").alias("centre_grams")), "pivot")
+    schema = "gram long, place int, size int, first boolean, far boolean, pivot long, key long, n int, component long"
+    rows = stored(both.select("pivot", "key", "n", "component", "grams", "centre_grams").mapInArrow(_differences(common), schema), f"{label}-differences")
+    x, y = rows.where("first").alias("x"), rows.where("far").alias("y")
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    # the first shingle that two differences share has none before it, so what is left from there on must be enough
+    enough = left * 2 * (top + bottom) >= (F.col("x.size") + F.col("y.size")) * (top + bottom) - (F.col("x.n") + F.col("y.n")) * (bottom - top)
+    meet = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & _near_in_size("x.n", "y.n") & enough
     pairs = stored(_ordered(x.join(y, meet).select(F.col("x.key").alias("p"), F.col("y.key").alias("q")), "p", "q"), f"{label}-met")
-    dropped(own, rows)
+    dropped(crowd, rows)
     return pairs
 
 
@@ -201,14 +223,14 @@ def _components(docs: DataFrame, label: str) -> DataFrame:
     links = _verified(starred, sets, label)
     labels = least_labels(links, label)
     # bands whose members aren't all in one component yet
-    placed = cells.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "members", "key", "n", F.coalesce("component", "key").alias("component"))
+    placed = cells.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "members", F.col("centre.key").alias("pivot"), "key", "n", F.coalesce("component", "key").alias("component"))
     placed = stored(placed, f"{label}-placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
     rest = stored(placed.join(mixed, "band", "left_semi"), f"{label}-rest")
     x, y = rest.where(F.col("members") <= SMALL).alias("x"), rest.where(F.col("members") <= SMALL).alias("y")
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _near_in_size("x.n", "y.n")
     few = _ordered(x.join(y, apart).select(F.col("x.key").alias("p"), F.col("y.key").alias("q")), "p", "q")
-    many = _by_prefix(rest.where(F.col("members") > SMALL).select("key", "n", "component").distinct(), sets, label)
+    many = _by_centre(rest.where((F.col("members") > SMALL) & (F.col("key") != F.col("pivot"))).select("pivot", "key", "n", "component").distinct(), sets, label)
     # what the stars have refused is known
     pairs = stored(few.union(many).distinct().join(starred, ["a", "b"], "left_anti"), f"{label}-pairs")
     more = _verified(pairs, sets, label)
