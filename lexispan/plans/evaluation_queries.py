@@ -8,6 +8,7 @@ from lexispan.operators import forced as FA
 from lexispan.operators import resampling as RS
 from lexispan.operators import sampling as SA
 from lexispan.operators import span_scores as SS
+from lexispan.operators import storage as ST
 from lexispan.plans.tables import SQL_TIMED, query, table, timed
 
 HOUR = 3600.0
@@ -133,3 +134,25 @@ def quota_sample(spark, d):
 @query()
 def quota_sample_report(spark, d):
     return SA.sample_report(_sample(spark, d), _STRATA, "event_type", "user_id")
+
+
+@query("""WITH l AS (SELECT *, 'clp_' || left(sha256(cast(l_partkey AS varchar)), 20) AS ck FROM lineitem), v AS (SELECT o_orderkey AS k, o_orderpriority AS channel FROM orders WHERE o_orderstatus <> 'P'),
+r AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN min(l_suppkey) END AS src FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus), c AS (SELECT DISTINCT l_orderkey AS k, ck FROM l WHERE l_quantity > 10),
+f AS (SELECT l_orderkey AS k, cast(l_quantity AS bigint) AS b, CASE l_linenumber % 4 WHEN 1 THEN CASE WHEN v.k IS NULL THEN 'orphan' ELSE 'raw_manifest' END WHEN 2 THEN CASE WHEN v.k IS NULL THEN 'orphan' WHEN l_suppkey = src THEN 'raw_source' ELSE 'unrecognized' END
+ ELSE CASE WHEN v.k IS NULL THEN 'orphan' WHEN c.k IS NULL THEN 'invalid_manifest' WHEN l_linenumber % 4 = 3 THEN 'clip_manifest' ELSE 'clip' END END AS class
+ FROM l LEFT JOIN v ON v.k = l_orderkey LEFT JOIN r ON r.k = l_orderkey LEFT JOIN c ON c.k = l_orderkey AND c.ck = l.ck)
+SELECT class, count(*) AS files, sum(b) AS bytes, count(DISTINCT k) AS videos FROM f GROUP BY class""")
+def storage_classes(spark, d):
+    """Lines of orders as stored files: manifests, recordings and clips of videos, some without captions or a readable manifest."""
+    rows = table(spark, d, "lineitem").select("*", F.concat(F.lit("clp_"), F.left(F.sha2(F.col("l_partkey").cast("string"), 256), F.lit(20))).alias("ck"), F.col("l_orderkey").cast("string").alias("k"))
+    orders = table(spark, d, "orders").select("*", F.col("o_orderkey").cast("string").alias("k"))
+    raw, clip, turn = F.concat_ws("/", F.lit(ST.RAW), F.lit("xx"), "k"), F.concat_ws("/", F.lit(ST.CLIPS), F.lit("xx"), "k", "ck"), F.col("l_linenumber") % 4
+    source = F.concat(F.col("l_suppkey").cast("string"), F.lit(".m4a"))
+    path = F.when(turn == 1, F.concat_ws("/", raw, F.lit(ST.MANIFEST))).when(turn == 2, F.concat_ws("/", raw, source)).when(turn == 3, F.concat_ws("/", clip, F.lit(ST.MANIFEST))).otherwise(F.concat_ws("/", clip, F.lit("c.ogg")))
+    named = lambda df: df.withColumns({"language": F.lit("xx"), "video_key": F.col("k")})
+    videos = named(orders.where("o_orderstatus != 'P'")).select("language", "video_key", F.col("o_orderpriority").alias("channel"))
+    least = rows.groupBy("k").agg(F.concat(F.min("l_suppkey").cast("string"), F.lit(".m4a")).alias("source_file"))
+    manifests = named(orders.join(least, "k")).select("language", "video_key", F.when(F.col("o_orderstatus") == "F", "ready").otherwise("failed").alias("status"), "source_file")
+    clips = named(rows.where("l_quantity > 10").select("k", F.col("ck").alias("clip_key")).distinct()).select("language", "video_key", "clip_key", F.lit("c.ogg").alias("clip_file"))
+    found = ST.classified(rows.select(path.alias("path"), F.col("l_quantity").cast("long").alias("bytes")), videos, manifests, clips)
+    return found.groupBy("class").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.count_distinct("video_key").alias("videos"))
