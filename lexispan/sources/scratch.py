@@ -7,16 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; a temporary folder only where Spark itself is local and the setting isn't there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local["):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lexispan-"))
-    return folder(spark)
+    if spark.sparkContext.applicationId not in _own:
+        _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="lexispan-")
+    return _own[spark.sparkContext.applicationId]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
