@@ -302,6 +302,25 @@ def test_links_equal_all_pairs_on_a_given_table(spark):
     assert {(r["x"], r["y"]): r["bit_error"] for r in named.collect()} == want and want
 
 
+def test_links_of_crowded_keys_equal_all_pairs(spark, monkeypatch):
+    """More recordings than CROWD share all or a part: number of links, best link and class are those of all pairs, over several packs."""
+    monkeypatch.setattr(chroma, "PACK", 32)
+    draw = np.random.default_rng(12)
+    whole, jingle = tone(41, 5000), tone(42, 2500)
+    rows = [(k, whole[64 * (k % 7) :] + tone(300 + k, 700)) for k in range(80)]
+    rows += [(100 + k, tone(500 + k, 2000 + 500 * (k % 3)) + jingle) for k in range(70)]
+    rows += [(200 + k, tone(500 + k, 2000 + 500 * (k % 3)) + jingle + tone(700 + k, 500)) for k in range(0, 70, 9)]
+    rows += [(300 + k, tone(900 + k // 2, 3000) + bytes(draw.integers(0, 255, 30 + k, np.uint8))) for k in range(6)]
+    links = plain_links(rows)
+    assert len(links) > 3000
+    ends, got = Counter(i for pair in links for i in pair), heard(rows, spark)
+    assert {i: r["n_links"] for i, r in got.items()} == {i: ends[i] for i, _ in rows}
+    assert {i: r["class_id"] for i, r in got.items()} == plain_classes(rows)
+    for i, r in got.items():
+        earlier = {j: e for (x, j), e in links.items() if x == i}
+        assert abs(r["bit_error"] - earlier[r["ref_id"]]) < 2e-6 if earlier else r["ref_id"] is None
+
+
 def test_classes_equal_plain_pairs(spark, docs, empty, tmp_path):
     texts = [(r["doc_id"], r["text"] or "") for r in docs.where("doc_id is not null and doc_id != 3").collect()]
     rows = [(i, t.encode()) for i, t in texts if not t or len(set(t)) > 3]  # a steady tone fits itself at every offset
