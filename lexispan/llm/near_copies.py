@@ -20,7 +20,9 @@ components of a band is compared in two ways, so that no pair is left out that c
   above zero if one of them isn't similar to c; if both are, they are in its component. Whatever the order of all shingles, they share one from which on so many are
   left of both, and one of them among about the first half of D. The order puts those first by which few members differ from c: what ``COMMON`` members
   or more have is common, and a common shingle is seldom lacked, a rare one seldom had. Of a template's pages and of copies that are edited too much, what
-  comes first are their own words: candidates grow with the members, not with their square. Common shingles are kept in a Bloom filter of fixed size; what it takes
+  comes first are their own words: candidates grow with the members, not with their square. Two members meet on the first shingle that they share, and not
+  again on the next ones: a row has what comes before it, up to ``BEFORE`` shingles (if the first one lies further on, they meet more often, which changes nothing), and under one of the centres that
+  both have. Common shingles are kept in a Bloom filter of fixed size; what it takes
   wrongly for common changes the order, not the result.
 
 Sets and texts are known by 128 bits.
@@ -45,6 +47,8 @@ SIMILAR = (4, 5)
 BANDS, DEPTH = 30, 5
 #: Members of a band of which all pairs are compared, and members of larger bands that make a shingle common.
 SMALL, COMMON = 16, 16
+#: Shingles of a difference that a row carries of those before its own.
+BEFORE = 32
 #: Size of the filter of common shingles: 8 MB.
 FILTER_BITS = 1 << 26
 
@@ -171,12 +175,17 @@ def _differences(common):
             half = (size * (top + bottom) + (n - nc) * (bottom - top)) / (2 * (top + bottom))
             rows, place = np.repeat(np.arange(len(batch)), size), np.concatenate([np.empty(0, np.int64), *(np.arange(s) for s in size)])
             first = place < half[rows]
-            keep = first | far[rows]
+            # what comes before the first that two share is in one set only: a ninth of both sets at most, a quarter of one
+            keep = (first | far[rows]) & (place * top <= n[rows] * (bottom - top))
             at = rows[keep]
-            own = [batch[c].take(pa.array(at)) for c in ("pivot", "key", "n", "component")]
-            grams = np.concatenate([np.empty(0, np.int64), *found])[keep]
-            columns = [pa.array(grams), pa.array(place[keep].astype(np.int32)), pa.array(size[at].astype(np.int32)), pa.array(first[keep]), pa.array(far[at])]
-            yield pa.RecordBatch.from_arrays([*columns, *own], names=["gram", "place", "size", "first", "far", "pivot", "key", "n", "component"])
+            length, start = np.minimum(place[keep], BEFORE), (size.cumsum() - size)[at]
+            ends = np.concatenate([[0], length.cumsum()])
+            every = np.concatenate([np.empty(0, np.int64), *found])
+            earlier = every[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
+            before = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(earlier, pa.int64()))
+            own = [batch[c].take(pa.array(at)) for c in ("pivot", "pivots", "key", "n", "component")]
+            columns = [pa.array(every[keep]), before, pa.array(place[keep].astype(np.int32)), pa.array(size[at].astype(np.int32)), pa.array(first[keep]), pa.array(far[at])]
+            yield pa.RecordBatch.from_arrays([*columns, *own], names=["gram", "before", "place", "size", "first", "far", "pivot", "pivots", "key", "n", "component"])
 
     return run
 
@@ -186,14 +195,18 @@ def _by_centre(members: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     top, bottom = SIMILAR
     crowd = stored(sets.join(members.select("key").distinct(), "key"), f"{label}-crowd")
     common = crowd.sparkSession.sparkContext.broadcast(_common(crowd))
+    members = members.join(members.groupBy("key").agg(F.collect_set("pivot").alias("pivots")), "key")
     both = members.join(sets, "key").join(sets.select(F.col("key").alias("pivot"), F.col("grams").alias("centre_grams")), "pivot")
-    schema = "gram long, place int, size int, first boolean, far boolean, pivot long, key long, n int, component long"
-    rows = stored(both.select("pivot", "key", "n", "component", "grams", "centre_grams").mapInArrow(_differences(common), schema), f"{label}-differences")
+    schema = "gram long, before array<long>, place int, size int, first boolean, far boolean, pivot long, pivots array<long>, key long, n int, component long"
+    rows = stored(both.select("pivot", "pivots", "key", "n", "component", "grams", "centre_grams").mapInArrow(_differences(common), schema), f"{label}-differences")
     x, y = rows.where("first").alias("x"), rows.where("far").alias("y")
     left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     # the first shingle that two differences share has none before it, so what is left from there on must be enough
     enough = left * 2 * (top + bottom) >= (F.col("x.size") + F.col("y.size")) * (top + bottom) - (F.col("x.n") + F.col("y.n")) * (bottom - top)
-    meet = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & _near_in_size("x.n", "y.n") & enough
+    # on the first shingle only, of two that are both first and far once, and under the least of the centres that both have
+    once = ~F.arrays_overlap("x.before", "y.before") & ~(F.col("x.far") & F.col("y.first") & (F.col("x.key") > F.col("y.key")))
+    once &= F.array_min(F.array_intersect("x.pivots", "y.pivots")) == F.col("x.pivot")
+    meet = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & _near_in_size("x.n", "y.n") & enough & once
     pairs = stored(_ordered(x.join(y, meet).select(F.col("x.key").alias("p"), F.col("y.key").alias("q")), "p", "q"), f"{label}-met")
     dropped(crowd, rows)
     return pairs
