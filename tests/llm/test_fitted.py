@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispan.llm import chroma, cotraining, mixing
+from lexispan.llm.common import settings
 
 DOMAINS = mixing.DOMAINS
 
@@ -321,6 +322,40 @@ def test_links_of_crowded_keys_equal_all_pairs(spark, monkeypatch):
         assert abs(r["bit_error"] - earlier[r["ref_id"]]) < 2e-6 if earlier else r["ref_id"] is None
 
 
+@pytest.mark.parametrize("bits", [1 << 6, chroma.FILTER_BITS])
+def test_holders_of_shared_keys_are_whole(spark, monkeypatch, bits):
+    """All places of keys that several recordings hold and no others, also where the filter lets every key through."""
+    monkeypatch.setattr(chroma, "FILTER_BITS", bits)
+    part, hum = tone(51, 2000), tone(52, 500) * 8
+    rows = [(k, tone(60 + k, 3000) + part * (k % 3)) for k in range(9)] + [(20, hum), (21, hum + tone(53, 900)), (22, tone(54, 500) * 8)]
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "doc_id long, media binary")).withColumnRenamed("doc_id", "least")
+    held = defaultdict(list)
+    for i, media in rows:
+        for at, key in chroma.keys(chroma.landmarks(chroma.fingerprint(media))):
+            held[key].append((i, at))
+    want = sorted((i, at, key, len(places)) for key, places in held.items() if len({i for i, _ in places}) > 1 for i, at in places)
+    assert want and sorted(tuple(r) for r in chroma.holders(prints).select("least", "at", "mark", "n").collect()) == want
+
+
+def test_keys_of_one_holder_are_not_moved(spark):
+    """Without broadcasts, what is shuffled is a small multiple of the codes and keys: joins don't move keys that nobody shares, nor the nodes."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        found = store.executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    rows = [(k, tone(3000 + k // 2 if k < 40 else 4000 + k, 6000) + bytes([k % 250] * 9)) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, media binary")
+    size = chroma.fingerprints(table).select(F.sum(4 * F.size("codes") + 12 * F.size("keys"))).first()[0]
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        before = written()
+        got = {r["doc_id"]: r["n_links"] for r in chroma.aligned(table).collect()}
+    ends = Counter(i for pair in plain_links(rows) for i in pair)
+    assert got == {i: ends[i] for i, _ in rows} and len(ends) >= 40
+    assert written() - before < 6 * size  # 4.1 times; 7.9 when joins moved all keys
+
+
 def test_classes_equal_plain_pairs(spark, docs, empty, tmp_path):
     texts = [(r["doc_id"], r["text"] or "") for r in docs.where("doc_id is not null and doc_id != 3").collect()]
     rows = [(i, t.encode()) for i, t in texts if not t or len(set(t)) > 3]  # a steady tone fits itself at every offset
