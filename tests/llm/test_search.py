@@ -154,6 +154,16 @@ def test_work_of_collocations_leaves_out_rare_words_and_python(spark, monkeypatc
     assert len(plans) == 1 and "InArrow" not in plans[0] and plans[0].count("Exchange") == 1
 
 
+def test_the_last_ranking_takes_the_first_of_each_piece(spark):
+    draw = random.Random(10)
+    rows = [(draw.choice(["en", "en", "de"]), f"p{k:04d}", draw.randint(10, 12), draw.randint(0, 50)) for k in range(4_000)]
+    few = [tuple(r) for r in collocations._ahead(spark.createDataFrame(rows, "lang string, phrase string, a long, score long"), 3).collect()]
+    assert len(few) <= 2 * 3 * collocations.PIECES and set(few) <= set(rows)
+    for lang in ("en", "de"):
+        first = lambda found: sorted((r for r in found if r[0] == lang), key=lambda r: (-r[3], -r[2], r[1]))[:3]  # noqa: B023, E731
+        assert first(few) == first(rows)
+
+
 def test_scores_of_large_counts_are_exact(spark):
     cases = [(10**14 + 7, 10**15 + 3, 3 * 10**14 + 1), (3, 3, 3), (10, 99, 101), (2**52 + 1, 2**53 - 1, 2**52 + 3)]
     found = spark.createDataFrame(cases, "a long, x long, y long").select("a", "x", "y", collocations._score("a", "x", "y").alias("s")).collect()
