@@ -78,12 +78,14 @@ def capped_merge(rows: DataFrame, key: str, gap: float, longest: float) -> DataF
 
 def label_runs(windows: DataFrame, keys: list[str], label: str, probability: str | None = None) -> DataFrame:
     """Runs of equal labels over ordered windows, with the mean ``probability`` of their windows. Where a run's first or last
-    window overlaps its neighbour the two are split halfway; a gap between them stays."""
+    window overlaps its neighbour the two are split halfway; a gap between them stays. Of windows with the same start and end that are first or last, the one
+    that comes first in the order counts."""
     over = Window.partitionBy(*keys).orderBy("start", "end")
     marked = windows.withColumn("_new", F.when(F.lag(label).over(over).eqNullSafe(F.col(label)) & F.lag("start").over(over).isNotNull(), 0).otherwise(1))
     marked = marked.withColumn("run", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     marked = marked.withColumn("_before", F.lag("end").over(over)).withColumn("_after", F.lead("start").over(over))
-    first, last = F.struct("start", "end"), F.struct("start", "end")
+    marked = marked.withColumn("_place", F.row_number().over(over))
+    first, last = F.struct("start", "end", "_place"), F.struct("start", "end", -F.col("_place"))
     runs = marked.groupBy(*keys, "run").agg(
         F.min_by(label, first).alias(label), F.min_by(F.struct("start", "_before"), first).alias("f"), F.max_by(F.struct("end", "_after"), last).alias("l"),
         F.count(F.lit(1)).alias("n"), *([F.avg(probability).alias("mean")] if probability else []),

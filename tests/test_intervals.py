@@ -68,3 +68,23 @@ def test_target_runs_break_at_others(spark):
     )
     found = I.target_runs(df, ["k"], "target", 1.0).orderBy("start").collect()
     assert [(r["start"], r["end"], r["n"]) for r in found] == [(0.0, 2.0, 2), (2.3, 3.0, 1), (9.0, 9.5, 1)]
+
+
+def test_runs_of_repeated_events_equal_their_sql(spark, tmp_path):
+    """Events that are there several times: the first of equal windows has the neighbour that a run's start is split with, and counts at its end, too."""
+    import datetime
+
+    import duckdb
+
+    from lexispan.plans import registry
+
+    at = datetime.datetime(2024, 1, 1)
+    once = [(u, k, kind, at + datetime.timedelta(seconds=40 * k), 50.0 + k) for u in (1, 2) for k, kind in enumerate(["view", "click", "error", "error", "view", "purchase"])]
+    rows = [(i, ts, u, kind, value) for i, (u, _, kind, ts, value) in enumerate(3 * once)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute("set threads = 1")
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = {(r[0], int(r[1])): r[2:] for r in duck.execute(registry.ORACLE_SQL["window_runs_midpoint"]).fetchall()}
+    got = {(r["user_id"], r["run"]): tuple(r)[2:] for r in registry.QUERIES["window_runs_midpoint"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 8
