@@ -57,6 +57,28 @@ def test_intervals_equal_a_plain_loop(spark, monkeypatch, ranges):
     assert found["apart"]["median_abs_high"] - found["apart"]["median_abs_low"] > 0.1
 
 
+def test_clusters_of_several_parts_equal_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(RS, "SPAN", 4)
+    monkeypatch.setattr(RS, "RANGES", 5)
+    draw = random.Random(3)
+    cells = {c: {f"v{k}": [draw.gauss(0, 1) for _ in range(draw.randint(1, 6))] for k in range(n)} for c, n in (("a", 19), ("b", 4), ("c", 5))}
+    df = spark.createDataFrame([(c, v, x) for c, vs in cells.items() for v, xs in vs.items() for x in xs], "cell string, video string, delta double").repartition(3)
+    found = {r["cell"]: r for r in RS.error_intervals(df, ["cell"], "video", "delta", 0.5, 30, "s").collect()}
+    for cell, clusters in cells.items():
+        r = found[cell]
+        assert (r["median_abs_low"], r["median_abs_high"]) == pytest.approx(resampled(clusters, 30, "s", lambda v: quantile(v, 0.5)), abs=1.1e-4)
+        assert (r["within_low"], r["within_high"]) == pytest.approx(resampled(clusters, 30, "s", lambda v: sum(x <= 0.5 for x in v) / len(v)), abs=1.1e-4)
+
+
+def test_registered_intervals_take_a_thousand_rounds(spark, monkeypatch):
+    from lexispan.plans import evaluation_queries as E
+
+    taken = []
+    monkeypatch.setattr(RS, "error_intervals", lambda *args: taken.append(args[5]))
+    E.timing_error_intervals(spark, "/root/testdata/sf0.001")
+    assert taken == [1000]
+
+
 def plain_scores(spans, labels, strict):
     """Intervals of whole seconds as sets of seconds."""
     seconds = lambda rows: {t for s, e in rows for t in range(s, e)}
