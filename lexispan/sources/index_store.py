@@ -23,21 +23,24 @@ class IndexUnavailable(RuntimeError):
     """No index, or one of another schema version."""
 
 
-def _written(tables: dict[str, DataFrame], base: str) -> None:
-    """Token streams are partitioned by language and sorted by token, so that a phrase's first words prune row groups."""
+def _written(tables: dict[str, DataFrame], base: str, by_token: bool) -> None:
+    """Token streams are partitioned by language and sorted by token, so that a phrase's first words prune row groups. Without ``by_token`` they stay in the
+    order of the texts: nothing is shuffled or sorted, and what a segment's tokens have in common takes next to no space."""
     for name, df in tables.items():
-        if name == "stream_tokens":
+        if name == "stream_tokens" and not by_token:
+            df.write.option("compression", "zstd").partitionBy("source_language").mode("errorifexists").parquet(f"{base}/{name}")
+        elif name == "stream_tokens":
             ordered = df.repartition("source_language", F.pmod(F.xxhash64("tok"), F.lit(64))).sortWithinPartitions("tok", "kind")
             ordered.write.partitionBy("source_language").mode("errorifexists").parquet(f"{base}/{name}")
         else:
             df.write.mode("errorifexists").parquet(f"{base}/{name}")
 
 
-def publish(tables: dict[str, DataFrame], root: str, build: str, parts: list[str] | None = None) -> str:
+def publish(tables: dict[str, DataFrame], root: str, build: str, parts: list[str] | None = None, by_token: bool = True) -> str:
     """Writes all tables of a build, then moves the pointer; a failure before that leaves the old index in use. ``parts``: the earlier
     builds whose parts stay in use."""
     base = f"{root.rstrip('/')}/v={build}"
-    _written(tables, base)
+    _written(tables, base, by_token)
     spark = next(iter(tables.values())).sparkSession
     pointer = spark.createDataFrame([(build, SCHEMA_VERSION, [*(parts or []), build])], "build string, schema_version int, parts array<string>").withColumn("published_at", F.current_timestamp())
     pointer.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/pointer")

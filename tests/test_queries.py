@@ -93,3 +93,25 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_index_queries_publish_what_they_read(spark, monkeypatch):
+    """Phrases need the positions only, which are written as the texts lie; counts of words need no n-grams."""
+    import os
+
+    from lexispan.plans import index_queries as Q
+
+    def built():
+        ((root, _),) = Q._built.values()
+        return sorted(os.listdir(root))
+
+    monkeypatch.setattr(Q, "_built", {})
+    registry.QUERIES["phrase_exact_of_the"](spark, SF)
+    assert built() == ["stream_tokens"]
+    for name in ("indexed_phrase_hits", "indexed_phrase_batch"):
+        registry.QUERIES[name](spark, SF)
+    assert built() == ["stream_tokens"]
+    registry.QUERIES["token_counts_by_lang"](spark, SF)
+    assert built() == ["segments", "stream_tokens", "word_counts"]
+    plan = Q.tokens_of(Q.listed(spark.read.parquet(f"{SF}/documents.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
