@@ -26,10 +26,10 @@ def _stream(spark, d):
 
 @query(f"""WITH {SQL_STREAM} SELECT lang, count(*) AS n_tokens, count(DISTINCT tok) AS n_types, count(DISTINCT doc_id) AS n_docs FROM tok GROUP BY lang""")
 def token_counts_by_lang(spark, d):
-    """From the published index: single words of its statistics, and documents with tokens."""
+    """From the published index: its counts of words, and documents with tokens."""
     from lexispan.plans.index_queries import opened
 
-    words = opened(spark, d, "ngram_stats").where("n = 1").groupBy(F.col("language").alias("lang")).agg(F.sum("total_count").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"))
+    words = opened(spark, d, "word_counts").groupBy(F.col("language").alias("lang")).agg(F.sum("total_count").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"))
     docs = opened(spark, d, "segments").where("token_count > 0").select(F.col("source_language").alias("lang"), "video_key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     return words.join(docs, "lang")
 
