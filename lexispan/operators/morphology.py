@@ -105,19 +105,21 @@ def query_keys(queries: DataFrame, lexicon: DataFrame, analyzed: DataFrame | Non
     return keys.where("key is not null and key != ''").distinct()
 
 
-def retrieval_scores(queries: DataFrame, keys: DataFrame, streams: DataFrame, gold: DataFrame, place: list[str]) -> DataFrame:
+def retrieval_scores(queries: DataFrame, keys: DataFrame, streams: DataFrame, gold: DataFrame, place: list[str], times: str | None = None) -> DataFrame:
     """A row for each query: occurrences by route and by both, what lemmas add, and recall and precision against the gold occurrences of its intended lemma.
 
     ``queries``: query_id, intended_lemma, selection_class. ``streams``: route, key, place. ``gold``: lemma, place. Recall is null without gold occurrences,
-    precision without hits; the precision of both routes together is told for ambiguous forms."""
+    precision without hits; the precision of both routes together is told for ambiguous forms. ``times``: one of ``place``, a number of
+    occurrences that a row stands for."""
     hits = keys.join(streams, ["route", "key"]).select("query_id", *place, (F.col("route") == "exact").alias("x"), (F.col("route") == "lemma").alias("l"), F.lit(False).alias("g"))
     wanted = queries.select("query_id", strict_key("intended_lemma").alias("strict")).where("strict is not null")
     right = gold.select(strict_key("lemma").alias("strict"), *place).join(wanted, "strict").select("query_id", *place, F.lit(False).alias("x"), F.lit(False).alias("l"), F.lit(True).alias("g"))
     seen = hits.union(right).groupBy("query_id", *place).agg(*(F.bool_or(c).alias(c) for c in "xlg"))
-    either = F.col("x") | F.col("l")
+    x, l, g = F.col("x"), F.col("l"), F.col("g")
+    count = lambda c, n: F.sum(F.when(c, F.col(times) if times else F.lit(1)).otherwise(0)).alias(n)
     sums = seen.groupBy("query_id").agg(
-        F.count_if("x").alias("exact_count"), F.count_if("l").alias("lemma_count"), F.count_if(either).alias("auto_count"), F.count_if(F.col("l") & ~F.col("x")).alias("deduplicated_expansion"),
-        F.count_if("g").alias("gold_count"), F.count_if(F.col("l") & F.col("g")).alias("lg"), F.count_if(either & F.col("g")).alias("ag"),
+        count(x, "exact_count"), count(l, "lemma_count"), count(x | l, "auto_count"), count(l & ~x, "deduplicated_expansion"),
+        count(g, "gold_count"), count(l & g, "lg"), count((x | l) & g, "ag"),
     )
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in sums.columns if c != "query_id"]
     joined = queries.join(sums, "query_id", "left").select(*queries.columns, *zero)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexispan.functions import text as X
 from lexispan.operators import morphology as MO
 from lexispan.operators import tokens as K
-from lexispan.plans.tables import SQL_STREAM, query, sql_tokens, table
+from lexispan.plans.tables import SQL_STREAM, by_identity, query, sql_tokens, table
 
 _STRICT = "nullif(nullif(replace(lower(nfc_normalize({0})), 'ß', 'ss'), ''), '_')"
 _UPOS = "CASE length({0}) % 5 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' WHEN 2 THEN NULL WHEN 3 THEN 'ADJ' ELSE 'PUNCT' END"
@@ -77,14 +77,20 @@ def lemma_retrieval_scores(spark, d):
     rows = table(spark, d, "benchmark").where(F.size(X.normalized_tokens(F.col("text"))) > 0).select(F.col("item_id").alias("query_id"), first.alias("surface"))
     kind = F.when(F.col("query_id") % 2 == 0, "ambiguous_form").otherwise("inflected")
     queries = rows.select("query_id", "surface", _lemma(F.col("surface")).alias("intended_lemma"), kind.alias("selection_class"))
-    place = ["doc_id", "seg", "pos"]
-    tokens = K.stream(K.segments(table(spark, d, "documents")), ["doc_id", "seg"]).select(*place, "tok")
+    place = ["doc_id", "seg", "pos", "type", "n"]
+    alone, shared = by_identity(table(spark, d, "documents"), ["doc_id"])
+    stream = lambda docs: K.stream(K.segments(docs), ["doc_id", "seg"])
+    # routes and gold depend on the word only, so its occurrences are counted first
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("seg", "int"), ("pos", "int"))]
+    tokens = stream(alone).groupBy("tok").agg(F.count(F.lit(1)).alias("n")).select(*none, F.col("tok").alias("type"), "n", "tok")
+    if shared is not None:  # at a place of several rows there are several words
+        tokens = tokens.unionByName(stream(shared).select("doc_id", "seg", "pos", F.lit(None).cast("string").alias("type"), F.lit(1).cast("bigint").alias("n"), "tok"))
     lemma = F.when(F.length("tok") > 3, _lemma(F.col("tok")))
     routes = F.array(F.struct(F.lit("exact").alias("route"), F.col("tok").alias("key")), F.struct(F.lit("lemma").alias("route"), lemma.alias("key")))
     streams = tokens.select(*place, F.inline(routes)).where("key is not null")
     keys = MO.query_keys(queries, _lexicon(spark, d))
     gold = tokens.select(_lemma(F.col("tok")).alias("lemma"), *place)
-    found = MO.retrieval_scores(queries, keys, streams, gold, place)
+    found = MO.retrieval_scores(queries, keys, streams, gold, place, "n")
     whole = lambda c, n: F.coalesce(F.floor(F.round(F.col(c) * 1000, 3) + 0.5), F.lit(-1)).alias(n)
     return found.select(
         "query_id", "exact_count", "lemma_count", "auto_count", "deduplicated_expansion", whole("candidate_lemma_recall", "recall"), whole("intended_lemma_precision", "precision"),

@@ -115,3 +115,24 @@ def test_index_queries_publish_what_they_read(spark, monkeypatch):
     assert built() == ["segments", "stream_tokens", "word_counts"]
     plan = Q.tokens_of(Q.listed(spark.read.parquet(f"{SF}/documents.parquet")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["span_agreement_scores", "lemma_retrieval_scores"])
+def test_shared_and_absent_ids_equal_sql(spark, tmp_path, name):
+    """Lines of documents that share an id meet at their places, those without an id or a language don't; all others are counted in their rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.where("doc_id < 12").withColumn("doc_id", F.when(F.col("doc_id") == 3, None).otherwise(F.col("doc_id") % 5)).withColumn("lang", F.when(F.col("doc_id") == 4, None).otherwise(F.col("lang")))
+    if name == "lemma_retrieval_scores":
+        odd = odd.where("doc_id is not null")  # its SQL gathers the places of all documents without an id
+    docs.where("doc_id >= 12 and doc_id < 60").unionByName(odd).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLE_SQL[name]).fetchdf()
+    assert rows_of(got) == rows_of(want)
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # tokens aren't shuffled by their place: agreement needs no join, retrieval counts words first
+    assert "FullOuter" not in plan if name == "span_agreement_scores" else "Exchange hashpartitioning(tok#" in plan
