@@ -86,3 +86,15 @@ def test_decisions_may_set_null(spark):
     decisions = spark.createDataFrame([(1, 0, "z"), (1, 1, None)], "k int, at int, verdict string")
     got = R.with_decisions(rows, decisions, "k", ["at"], ["verdict"]).orderBy("k").collect()
     assert [tuple(r) for r in got] == [(1, None, True), (2, "y", False)]
+
+
+def test_quantiles_by_ranges_are_exact(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    for around, values in ((0.001, [draw.gauss(0, 1) for _ in range(3000)]), (0.0005, [draw.choice([1.0, 2.0, 2.5]) for _ in range(500)]), (0.01, [3.0]), (0.01, [1.0, 2.0])):
+        monkeypatch.setattr(R, "AROUND", around)
+        rows = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+        for share in (0.5, 0.9, 0.0, 1.0):
+            want = rows.agg(F.percentile("x", F.lit(share))).first()[0]
+            assert R.exact_quantile(rows, F.col("x"), len(values), share) == pytest.approx(want, abs=1e-12)
