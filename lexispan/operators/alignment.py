@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def word_groups(tokens: DataFrame, keys: list[str], word: str) -> DataFrame:
@@ -48,6 +50,26 @@ def token_problems(tokens: DataFrame, keys: list[str], text: Column) -> DataFram
     return seen.withColumn("problem", problem).where("problem is not null").select(*keys, "pos", "problem")
 
 
+def problem_count(text: str, surfaces: list[str]) -> int:
+    """How many of ``surfaces``, each sought from the end of the one before, have a problem of ``token_problems``. Where one isn't found the search goes on
+    from where it would end."""
+    n, at = 0, 0
+    for word in surfaces:
+        start = text.find(word, at)
+        end = start + len(word)
+        # what is found lies in the text, is like it and starts at the end of the one before or later
+        n += start < 0 or not word
+        at = end
+    return n
+
+
+@F.pandas_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("problems", T.LongType())]))
+def offset_problems(text: pd.Series, surfaces: pd.Series) -> pd.DataFrame:
+    """Tokens of a text, and those whose offsets by a forward search have a problem: in the row, without a row for each token."""
+    found = [(len(w), problem_count(t, w)) if w is not None else (0, 0) for t, w in zip(text, surfaces, strict=True)]
+    return pd.DataFrame(found, columns=["tokens", "problems"])
+
+
 def merged_overlaps(groups: Column) -> Column:
     """Groups (char_start, char_end, start, end, confidence), in order, that share characters made one: from the least start to the
     greatest end, in text and in time. Confidence is averaged pair by pair, which depends on the order, so it is a fold over the array."""

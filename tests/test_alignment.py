@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexispan.functions import text as X
 from lexispan.operators import alignment as A
 
 
@@ -40,3 +41,16 @@ def test_a_prune_needs_a_selector(spark):
 def test_proxy_label_ties_go_to_the_target(spark):
     df = spark.createDataFrame([(1, "other", 2.0), (1, "target", 2.0), (2, "mixed", 3.0), (2, "target", 1.0)], "u int, kind string, seconds double")
     assert {r["u"]: r["label"] for r in A.proxy_labels(df, "u").collect()} == {1: "target", 2: "mixed"}
+
+
+def test_offsets_in_rows_have_the_problems_of_tokens(spark):
+    texts = ["a cat, a cat", "", "naïve ’tis it's 12", "ab ab ab"]
+    found = [A.problem_count(t, w) for t, w in ((texts[0], ["a", "cat", "a", "cat"]), (texts[2], ["naïve", "tis", "it's", "12"]), (texts[3], ["ab", "zz", "ab"]), ("ab", ["ab", "ab"]))]
+    assert found == [0, 0, 1, 1]
+    lists = [["a", "cat", "cat", "a"], [], ["it's", "naïve", "12"], ["ab", "b", "zz", "ab"]]
+    rows = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(zip(texts, lists))], "id int, text string, words array<string>")
+    spans = rows.select("id", "text", F.posexplode(X.token_spans(F.col("text"), F.col("words"))).alias("pos", "s"))
+    tokens = spans.select("id", "text", "pos", "s.surface", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"), F.lit(False).alias("shared_span"))
+    old = {r["id"]: r["count"] for r in A.token_problems(tokens, ["id"], F.col("text")).where("problem != 'overlap'").groupBy("id").count().collect()}
+    got = {r["id"]: r["c"]["problems"] for r in rows.select("id", A.offset_problems("text", "words").alias("c")).collect()}
+    assert got == {i: old.get(i, 0) for i in range(4)}
