@@ -144,6 +144,14 @@ def span_agreement(gold: DataFrame, predicted: DataFrame, keys: list[str], span:
     )
 
 
+def list_agreement(gold: Column, predicted: Column) -> list[Column]:
+    """The counts of ``span_agreement`` for places in two lists of a row, without nulls: gold, predicted, common, lemmas, right_lemmas."""
+    common = F.least(F.size(gold), F.size(predicted)).cast("long")
+    equal = F.zip_with(gold, predicted, lambda a, b: a == b)  # null behind the shorter one's end
+    right = F.size(F.filter(equal, lambda x: x)).cast("long")
+    return [F.size(gold).cast("long").alias("gold"), F.size(predicted).cast("long").alias("predicted"), common.alias("common"), common.alias("lemmas"), right.alias("right_lemmas")]
+
+
 def proxy_labels(overlaps: DataFrame, unit: str) -> DataFrame:
     """The kind that covers most of each unit, from (unit, kind, seconds); of equals target before other before mixed."""
     rank = F.when(F.col("kind") == "target", 0).when(F.col("kind") == "other", -1).otherwise(-2)
