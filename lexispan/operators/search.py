@@ -10,6 +10,8 @@ from lexispan.functions import measures as M
 
 MODES, ORDERS = ("auto", "exact", "lemma"), ("ranked", "random")
 MAX_CHARS, MAX_WORDS, MAX_LIMIT = 200, 5, 50
+#: Most widely used n-grams among which suggestions are sought.
+SUGGESTED = 1000
 
 
 class SearchError(ValueError):
@@ -72,7 +74,7 @@ def random_page(rows: DataFrame, ident: str, seed: str, limit: int) -> DataFrame
     return rows.withColumn("draw", ids.hash_order(seed, F.col(ident))).orderBy("draw").limit(limit)
 
 
-def suggestions(stats: DataFrame, stopword, limit: int, pool: int = 1000) -> DataFrame:
+def suggestions(stats: DataFrame, stopword, limit: int, pool: int = SUGGESTED) -> DataFrame:
     """From the most widely used n-grams: half single words that aren't stop words, the rest phrases that aren't all
     stop words or numbers, each filled up from the other if it runs short. ``stopword``: column -> column."""
     numeric = lambda t: t.rlike(r"^\p{N}+$")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexispan.functions import ids
 from lexispan.functions import measures as M
 from lexispan.functions import text as X
+from lexispan.operators import gram_counts as GC
 from lexispan.operators import sampling as SA
 from lexispan.operators import search as S
 from lexispan.operators import tokens as K
@@ -107,16 +108,16 @@ _SQL_STATS = _SQL_STATS.replace("FOLDED", SQL_FOLD.format("s"))
 
 @query(f"WITH {_SQL_STATS} SELECT * FROM stats WHERE total_count >= 5")
 def ngram_stats_frequent(spark, d):
-    return K.ngram_stats(_segments(spark, d), "lang", "doc_id").where("total_count >= 5")
+    from lexispan.plans.index_queries import opened
+
+    return GC.frequent(opened(spark, d, "token_lists"), 5)
 
 
 @query(f"""WITH {_SQL_STATS} SELECT language, n, count(*) AS n_grams, sum(total_count) AS total, max(total_count) AS top_count, sum(video_count) AS video_pairs FROM stats GROUP BY language, n""")
 def ngram_stats_summary(spark, d):
     from lexispan.plans.index_queries import opened
 
-    return opened(spark, d, "ngram_stats").groupBy("language", "n").agg(
-        F.count(F.lit(1)).alias("n_grams"), F.sum("total_count").alias("total"), F.max("total_count").alias("top_count"), F.sum("video_count").alias("video_pairs")
-    )
+    return GC.summary(opened(spark, d, "token_lists"))
 
 
 @query(f"""WITH {SQL_STREAM}, n AS (SELECT DISTINCT doc_id, seg, token_count AS c FROM tok)

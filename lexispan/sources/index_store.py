@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 2
 #: Tables in parts, all with a video_key; the list of videos that a part replaces; list sizes up to which a list is broadcast.
-PARTED = ("segments", "stream_tokens", "ngrams_by_video", "span_counts")
+PARTED = ("segments", "stream_tokens", "token_lists", "ngrams_by_video", "span_counts")
 REPLACED = "replaced"
 BROADCAST_VIDEOS = 100_000
 
@@ -32,6 +32,8 @@ def _written(tables: dict[str, DataFrame], base: str, by_token: bool) -> None:
         elif name == "stream_tokens":
             ordered = df.repartition("source_language", F.pmod(F.xxhash64("tok"), F.lit(64))).sortWithinPartitions("tok", "kind")
             ordered.write.partitionBy("source_language").mode("errorifexists").parquet(f"{base}/{name}")
+        elif name == "token_lists":
+            df.write.option("compression", "zstd").mode("errorifexists").parquet(f"{base}/{name}")
         else:
             df.write.mode("errorifexists").parquet(f"{base}/{name}")
 
